@@ -14,8 +14,26 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.token_planes import read_shards, write_shards
+
+    return read_shards(write_shards(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
+def op9_window_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.window_doubling import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
+def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.golay_simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_byte_bpe,)}
+    return {f.__name__: f for f in (op2_token_planes, op5_byte_bpe, op9_window_doubling, op10_golay_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
