@@ -206,3 +206,18 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = named.join(least, "label").select("fp", "component_id")
     return of.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Up to so many doc_ids are broadcast (counted); beyond that the join shuffles.
+FEW_IDS = 500_000
+
+
+def representatives(docs: DataFrame, bits: int = BITS, few: int = FEW_IDS) -> DataFrame:
+    """The documents, all columns, without those that have a near copy of smaller doc_id.
+
+    Rows that share a doc_id stay or go together; rows without doc_id stay.
+    """
+    gone = saved(near_duplicates(docs, bits).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    if gone.limit(few + 1).count() <= few:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

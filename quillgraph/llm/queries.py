@@ -32,8 +32,48 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_pii_labellers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.pii_labellers import personal_data
+
+    return personal_data(documents(spark, sf_dir))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.quality_rules import quality
+
+    return quality(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.weak_labels import weak_quality
+
+    return weak_quality(documents(spark, sf_dir))
+
+
+def op6_secret_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.secret_index import secrets
+
+    return secrets(documents(spark, sf_dir))
+
+
+def op7_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.toxicity_trees import toxicity
+
+    return toxicity(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.latent_decontamination import leaks
+
+    return leaks(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_planes, op5_byte_bpe, op9_window_doubling, op10_golay_simhash)}
+    return {f.__name__: f for f in (op1_pii_labellers, op2_token_planes, op3_quality_rules, op4_weak_labels, op5_byte_bpe, op6_secret_index, op7_toxicity_trees, op8_latent_decontamination, op9_window_doubling, op10_golay_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
