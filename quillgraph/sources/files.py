@@ -146,7 +146,7 @@ def chunk_files(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Plain texts and images stay in the JVM; the office formats and CSV go through Arrow.
     """
-    plain = files.where(~F.col("ext").isin("csv", "docx", "xlsx", "pptx", *IMAGES)).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    plain = files.where(~F.col("ext").isin("csv", "docx", "xlsx", "pptx", *IMAGES)).select("path", F.decode("content", "UTF-8").alias("text"))
 
     def docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
