@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch.  Texts are whole, so a batch must hold few of them.
@@ -86,3 +87,8 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def open_shared(path: str):
+    """A file system that the workers reach themselves, and the path in it."""
+    return pyarrow.fs.FileSystem.from_uri(path) if ":" in path else (pyarrow.fs.LocalFileSystem(), path)

@@ -7,8 +7,9 @@ Anchors found in one document alone end there; windows around repeated ones are
 (about) twice the length and compared again.  ``longest_repeats`` goes on doubling from
 there until no candidates survive.
 
-Windows are compared by 64 bits (anchors) and 96 bits (windows that decide) of polynomial
-hashes of the words' XXH64.  Hashes travel in packed blocks, one a task and bucket; before
+Windows are compared by 48 bits (anchors, a sieve) and 88 bits (windows that decide) of
+polynomial hashes of the words' XXH64.  Texts with repeated anchors wait in files of the
+shared folder, one a bucket of documents, so that they are shuffled once.  Hashes travel in packed blocks, one a task and bucket; before
 that each task settles what repeats within itself and sends each hash once, with its least
 document, so that a passage in a third of all documents is no large group anywhere.
 
@@ -20,6 +21,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Memo, raw_texts, saved, small_batches
+from quillgraph.llm.common import Memo, new_path, open_shared, raw_texts, saved, small_batches
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Windows that a task gathers before it sends blocks.
@@ -67,21 +69,33 @@ def anchors(halves: np.ndarray, span: int) -> np.ndarray:
     return np.unique(np.arange(n) + view.argmin(axis=1))
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of equal length; sorted ones shrink as differences."""
+def _pack(*columns: tuple[np.ndarray, int]) -> bytes:
+    """Columns of equal length and so many low bytes of each value; bytes are put in planes.
+
+    Columns of fewer than eight bytes are kept as they are, others as differences.
+    """
     parts = []
-    for c in columns:
-        d = c.astype(np.int64, copy=False) if c.dtype != np.uint64 else c.view(np.int64)
-        d = np.diff(d, prepend=np.int64(0))
-        # byte planes: the high ones are nearly constant
-        parts.append(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
+    for c, size in columns:
+        d = np.ascontiguousarray(c).view(np.int64)
+        d = np.diff(d, prepend=np.int64(0)) if size == 8 else d
+        parts.append(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def _unpack(data: bytes, n: int) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    size = len(raw) // n
-    return [np.cumsum(np.ascontiguousarray(np.frombuffer(raw[k * n : (k + 8) * n], np.uint8).reshape(8, n).T).view(np.int64).reshape(-1)) for k in range(0, size, 8)]
+def _unpack(data: bytes, n: int, *sizes: int) -> list[np.ndarray]:
+    raw, out, at = zstandard.ZstdDecompressor().decompress(data), [], 0
+    for size in sizes:
+        d = np.zeros((n, 8), np.uint8)
+        d[:, :size] = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T
+        at += n * size
+        d = d.view(np.int64).reshape(-1)
+        out.append(np.cumsum(d) if size == 8 else d)
+    return out
+
+
+#: Bytes of: first hash, second hash, document, place, mark.  Anchors are only a sieve, so
+#: 48 bits do for them; windows that decide have 88.
+_SIEVE, _DECIDE = (6, 0, 8, 8, 1), (7, 4, 8, 8, 1)
 
 
 class _Sender:
@@ -91,11 +105,13 @@ class _Sender:
     with a larger doc_id it is known at once that they repeat, and ``settled`` gets them.
     """
 
-    def __init__(self, buckets: int, both: bool):
+    def __init__(self, buckets: int, both: bool, anchors_only: bool):
         self.buckets, self.both, self.held, self.n = buckets, both, [], 0
+        self.sizes = _SIEVE if anchors_only else _DECIDE
 
     def add(self, first: np.ndarray, second: np.ndarray, doc: int, places: np.ndarray) -> None:
         if len(first):
+            first = first & np.uint64((1 << 8 * self.sizes[0]) - 1)
             self.held.append((first, second, np.full(len(first), doc, np.int64), places.astype(np.int64)))
             self.n += len(first)
 
@@ -122,14 +138,14 @@ class _Sender:
         # one record a hash goes on, all of the least document's places if not settled
         send = (doc == least) & (new | ~settled)
         mark = settled.astype(np.int64)
-        bucket = (h >> np.uint64(24)).astype(np.int64) % self.buckets
+        bucket = (h & np.uint64(0xFFFFFFFF)).astype(np.int64) % self.buckets
         h, g, doc_s, at_s, mark, bucket = h[send], g[send], doc[send], at[send], mark[send], bucket[send]
-        by = np.argsort(bucket, kind="stable")
+        by = np.lexsort((at_s, doc_s, bucket))
         cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
         blocks = []
         for s, e in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
             k = by[s:e]
-            blocks.append((int(bucket[k[0]]), len(k), _pack(h[k], g[k], doc_s[k], at_s[k], mark[k])))
+            blocks.append((int(bucket[k[0]]), len(k), _pack(*zip((h[k], g[k], doc_s[k], at_s[k], mark[k]), self.sizes, strict=True))))
         return blocks, (doc[settled], at[settled])
 
 
@@ -144,7 +160,7 @@ def _doc_blocks(doc: np.ndarray, at: np.ndarray, buckets: int) -> list[tuple[int
     keep[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
     bucket, doc, at = bucket[keep], doc[keep], at[keep]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    return [(int(bucket[s]), e - s, _pack(doc[s:e], at[s:e])) for s, e in zip(cuts, np.append(cuts[1:], len(doc)), strict=True)]
+    return [(int(bucket[s]), e - s, _pack((doc[s:e], 8), (at[s:e], 8))) for s, e in zip(cuts, np.append(cuts[1:], len(doc)), strict=True)]
 
 
 def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
@@ -167,11 +183,11 @@ def _rows(kind: int, blocks: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([kind] * len(blocks), pa.int32()), pa.array([b[0] for b in blocks], pa.int32()), pa.array([int(b[1]) for b in blocks], pa.int32()), pa.array([b[2] for b in blocks], pa.binary())], schema=_BLOCK)
 
 
-def _send(df: DataFrame, windows, buckets: int, both: bool) -> DataFrame:
+def _send(df: DataFrame, windows, buckets: int, both: bool, anchors_only: bool = False) -> DataFrame:
     """Blocks of the windows that ``windows(memo, batch)`` yields as (doc, first, second, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sender = new_memo(), _Sender(buckets, both)
+        memo, sender = new_memo(), _Sender(buckets, both, anchors_only)
 
         def out():
             blocks, (doc, at) = sender.flush()
@@ -190,7 +206,7 @@ def _send(df: DataFrame, windows, buckets: int, both: bool) -> DataFrame:
     return df.mapInArrow(run, _BLOCK_DDL)
 
 
-def _repeated(sent: DataFrame, n: int, both: bool) -> DataFrame:
+def _repeated(sent: DataFrame, n: int, both: bool, anchors_only: bool = False) -> DataFrame:
     """Blocks of places: those settled before, and those that the hashes of other tasks settle."""
 
     def settle(blocks: list) -> list[tuple[int, int, bytes]]:
@@ -207,7 +223,7 @@ def _repeated(sent: DataFrame, n: int, both: bool) -> DataFrame:
             hit = known[group]
         return _doc_blocks(doc[hit], at[hit], buckets)
 
-    buckets = _prime(4 * n)
+    buckets, sizes = _prime(4 * n), _SIEVE if anchors_only else _DECIDE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
@@ -221,39 +237,13 @@ def _repeated(sent: DataFrame, n: int, both: bool) -> DataFrame:
                     yield _rows(_PLACES, settle(held))
                     held = []
                 last = bucket
-                held.append(_unpack(block, k))
+                held.append(_unpack(block, k, *sizes))
         if held:
             yield _rows(_PLACES, settle(held))
 
     return sent.repartition(n, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(run, _BLOCK_DDL)
 
 
-def _with_places(docs: DataFrame, places: DataFrame, n: int, make, schema: str) -> DataFrame:
-    """``make()(batch of documents, table of places)`` over documents met with their places."""
-    bucket = F.coalesce(F.pmod("doc_id", F.lit(_prime(4 * n))), F.lit(-1)).cast("int")
-    text_rows = docs.select(F.lit(_PLACES + 1).alias("kind"), bucket.alias("bucket"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("block"), *docs.columns)
-    place_rows = places.select("kind", "bucket", "n", "block", *(F.lit(None).cast(t).alias(c) for c, t in docs.dtypes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, last, held, table = make(), None, [], _table([])
-        for batch in batches:
-            kinds, of = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            cuts = np.flatnonzero((np.diff(kinds, prepend=-1) != 0) | (np.diff(of, prepend=-2) != 0))
-            for s, e in zip(cuts, np.append(cuts[1:], len(of)), strict=True):
-                part = batch.slice(s, e - s)
-                if of[s] != last:
-                    last, held, table = of[s], [], None
-                if kinds[s] == _PLACES:
-                    held += [_unpack(b, k) for k, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                else:
-                    if table is None:
-                        table, held = _table(held), []
-                    yield f(part, table)
-
-    met = place_rows.unionByName(text_rows).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
-    return met.mapInArrow(run, schema)
-
-
 def _table(held: list) -> tuple[np.ndarray, np.ndarray]:
     if not held:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -275,9 +265,6 @@ def _around(places: np.ndarray, reach: int, n: int) -> np.ndarray:
     return np.unique(found[(found >= 0) & (found < n)])
 
 
-_FOUND = "doc_id long, n_words long, whole_sha256 string, text string, places binary"
-
-
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -286,11 +273,65 @@ def _column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
 
+# --- a level: rows of documents that are done, and files that hold the others by bucket
+
+_RECORD = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha256", pa.string()), ("text", pa.binary()), ("places", pa.binary())])
+_LEVEL = pa.schema([("done", pa.bool_()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("sha256", pa.string()), ("bucket", pa.int32()), ("path", pa.string())])
+_LEVEL_DDL = "done boolean, doc_id long, n_words long, n_removed long, sha256 string, bucket int, path string"
+
+
+def _done(rows: list[tuple]) -> pa.RecordBatch:
+    c = list(zip(*rows, strict=True))
+    none = [None] * len(rows)
+    return pa.record_batch([pa.array(x, f.type) for x, f in zip([[True] * len(rows), *c, none, none], _LEVEL, strict=True)], schema=_LEVEL)
+
+
+class _Files:
+    """Writes records to a file a bucket (Arrow stream, zstandard); a repeated task has other names."""
+
+    def __init__(self, root: str):
+        self.root, self.at, self.sink, self.writer, self.held, self.size = root, None, None, None, [], 0
+        self.fs, self.folder = open_shared(root)
+        self.fs.create_dir(self.folder, recursive=True)
+
+    def add(self, bucket: int, record: tuple) -> Iterator[pa.RecordBatch]:
+        if bucket != self.at:
+            yield from self.close()
+            self.at, self.name = bucket, f"{bucket:07d}-{uuid.uuid4().hex}"
+            self.sink = self.fs.open_output_stream(f"{self.folder}/{self.name}")
+            self.writer = pa.ipc.new_stream(self.sink, _RECORD, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3)))
+        self.held.append(record)
+        self.size += len(record[3])
+        if self.size > 4_000_000:
+            self._write()
+
+    def _write(self) -> None:
+        if self.held:
+            self.writer.write_batch(pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*self.held, strict=True), _RECORD, strict=True)], schema=_RECORD))
+            self.held, self.size = [], 0
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.writer is not None:
+            self._write()
+            self.writer.close()
+            self.sink.close()
+            yield pa.record_batch([pa.array([x], f.type) for x, f in zip([False, None, None, None, None, self.at, f"{self.root}/{self.name}"], _LEVEL, strict=True)], schema=_LEVEL)
+            self.writer = None
+
+
+def _records(path: str) -> Iterator[tuple]:
+    fs, at = open_shared(path)
+    with fs.open_input_stream(at) as f, pa.ipc.open_stream(f) as stream:
+        for batch in stream:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
 def _half_level(docs: DataFrame, length: int, n: int) -> DataFrame:
-    """Documents with the places of their repeated half-length anchors; others lose their text."""
+    """Documents without repeated half-length anchors are done; the others go to files with the anchors' places."""
     half = (length + 1) // 2
     span = length - half + 1
     docs = docs.select("doc_id", "text")
+    out = new_path(docs.sparkSession, "repeats")
 
     def windows(memo: Memo, batch: pa.RecordBatch):
         for doc, raw in zip(batch.column(0).to_pylist(), raw_texts(batch), strict=True):
@@ -298,34 +339,72 @@ def _half_level(docs: DataFrame, length: int, n: int) -> DataFrame:
             at = anchors(h, span)
             yield doc, h[at], np.zeros(len(at), np.int64), at
 
-    def make():
-        def run(batch: pa.RecordBatch, table) -> pa.RecordBatch:
-            ids, sizes, shas, texts_, places = _column(batch, "doc_id"), [], [], [], []
-            for doc, raw in zip(ids.to_pylist(), raw_texts(batch), strict=True):
-                words, found = raw.split(), _places_of(table, doc)
-                sizes.append(len(words))
-                shas.append(_digest(words))
-                texts_.append(raw if len(found) else None)
-                places.append(found.astype("<i4").tobytes() if len(found) else None)
-            return pa.record_batch([ids, pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(texts_, pa.binary()).cast(pa.string()), pa.array(places, pa.binary())], ["doc_id", "n_words", "whole_sha256", "text", "places"])
+    sent = _send(docs.where("doc_id is not null"), windows, _prime(4 * n), True, anchors_only=True)
+    places = _repeated(sent, n, True, anchors_only=True)
+    bucket = F.coalesce(F.pmod("doc_id", F.lit(_prime(4 * n))), F.lit(-1)).cast("int")
+    text_rows = docs.select(F.lit(_PLACES + 1).alias("kind"), bucket.alias("bucket"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("block"), "doc_id", "text")
+    place_rows = places.select("kind", "bucket", "n", "block", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
 
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, last, held, table = _Files(out), None, [], _table([])
+        for batch in batches:
+            rows, done = zip(*(c.to_pylist() for c in batch.columns[:5]), raw_texts(batch), strict=True), []
+            for kind, bucket, k, block, doc, raw in rows:
+                if bucket != last:
+                    last, held, table = bucket, [], None
+                if kind == _PLACES:
+                    held.append(_unpack(block, k, 8, 8))
+                    continue
+                if table is None:
+                    table, held = _table(held), []
+                words, found = raw.split(), _places_of(table, doc)
+                if len(found):
+                    yield from files.add(bucket, (doc, len(words), _digest(words), raw, found.astype("<i4").tobytes()))
+                else:
+                    done.append((doc, len(words), 0, _digest(words)))
+            if done:
+                yield _done(done)
+        yield from files.close()
 
-    sent = _send(docs.where("doc_id is not null"), windows, _prime(4 * n), True)
-    return saved(_with_places(docs, _repeated(sent, n, True), n, make, _FOUND), "level")
+    met = place_rows.unionByName(text_rows).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    return saved(met.mapInArrow(run, _LEVEL_DDL), "level")
 
 
 def _send_longer(level: DataFrame, length: int, reach: int, n: int, both: bool) -> DataFrame:
     """Windows of the length around the places of a level."""
 
     def windows(memo: Memo, batch: pa.RecordBatch):
-        for doc, raw, places in zip(batch.column(0).to_pylist(), raw_texts(batch), _column(batch, "places").to_pylist(), strict=True):
-            words = word_hashes(raw.split(), memo)
-            at = _around(np.frombuffer(places, "<i4").astype(np.int64), reach, len(words) - length + 1)
-            second = (window_hashes(words, length, 1)[at] >> np.uint64(32)).astype(np.int64) if len(at) else at
-            yield doc, window_hashes(words, length)[at], second, at
+        for path in batch.column(0).to_pylist():
+            for doc, _, _, raw, places in _records(path):
+                words = word_hashes(raw.split(), memo)
+                at = _around(np.frombuffer(places, "<i4").astype(np.int64), reach, len(words) - length + 1)
+                if len(at):
+                    second = (window_hashes(words, length, 1)[at] >> np.uint64(32)).astype(np.int64)
+                    yield doc, window_hashes(words, length)[at], second, at
+
+    return _send(level.where("not done").select("path").repartition(n, "path"), windows, _prime(4 * n), both)
 
-    return _send(level.where("places is not null").select("doc_id", "text", "places"), windows, _prime(4 * n), both)
+
+def _on_files(level: DataFrame, places: DataFrame, n: int, each, schema: str, finish=None) -> DataFrame:
+    """``each(record, places)`` over a level's files met with new places, bucket by bucket."""
+    file_rows = level.where("not done").select(F.lit(_PLACES + 1).alias("kind"), "bucket", F.lit(0).alias("n"), F.lit(None).cast("binary").alias("block"), "path")
+    place_rows = places.select("kind", "bucket", "n", "block", F.lit(None).cast("string").alias("path"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, f = None, [], each()
+        for batch in batches:
+            for kind, bucket, k, block, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != last:
+                    last, held = bucket, []
+                if kind == _PLACES:
+                    held.append(_unpack(block, k, 8, 8))
+                else:
+                    yield from f(bucket, path, _table(held))
+        if finish:
+            yield from finish(f)
+
+    met = place_rows.unionByName(file_rows).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    return met.mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
@@ -336,27 +415,27 @@ def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     level = _half_level(docs, length, n)
     later = _repeated(_send_longer(level, length, length - (length + 1) // 2, n, False), n, False)
 
-    def make():
-        def run(batch: pa.RecordBatch, table) -> pa.RecordBatch:
-            ids, sizes, shas = (_column(batch, c) for c in ("doc_id", "n_words", "whole_sha256"))
-            removed, kept = [], shas.to_pylist()
-            for k, (doc, raw) in enumerate(zip(ids.to_pylist(), _column(batch, "text").cast(pa.binary()).to_pylist(), strict=True)):
-                at = _places_of(table, doc) if raw is not None else ()
-                if not len(at):
-                    removed.append(0)
-                    continue
-                words = raw.split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                edge[at] += 1
-                edge[at + length] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
-                removed.append(int(gone.sum()))
-                kept[k] = _digest([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-            return pa.record_batch([ids, sizes, pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    def each():
+        def run(bucket: int, path: str, table) -> Iterator[pa.RecordBatch]:
+            rows = []
+            for doc, size, sha, raw, _ in _records(path):
+                at = _places_of(table, doc)
+                gone = 0
+                if len(at):
+                    words = raw.split()
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    edge[at] += 1
+                    edge[at + length] -= 1
+                    cover = np.cumsum(edge[:-1]) > 0
+                    gone = int(cover.sum())
+                    sha = _digest([w for w, c in zip(words, cover.tolist(), strict=True) if not c])
+                rows.append((doc, size, gone, sha))
+            yield _done(rows)
 
         return run
 
-    return _with_places(level.select("doc_id", "n_words", "whole_sha256", "text"), later, n, make, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    out = _on_files(level, later, n, each, _LEVEL_DDL).unionByName(level.where("done"))
+    return out.select("doc_id", "n_words", "n_removed", F.col("sha256").alias("kept_sha256"))
 
 
 def longest_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
@@ -366,19 +445,28 @@ def longest_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     level, reach, out = _half_level(docs, length, n), length - (length + 1) // 2, None
-
-    def make():
-        def run(batch: pa.RecordBatch, table) -> pa.RecordBatch:
-            ids = _column(batch, "doc_id")
-            found = [_places_of(table, d).astype("<i4").tobytes() or None for d in ids.to_pylist()]
-            return pa.record_batch([ids, _column(batch, "n_words"), _column(batch, "whole_sha256"), _column(batch, "text"), pa.array(found, pa.binary())], ["doc_id", "n_words", "whole_sha256", "text", "places"])
-
-        return run
-
     while True:
         places = _repeated(_send_longer(level, length, reach, n, True), n, True)
-        level = saved(_with_places(level.where("places is not null").drop("places"), places, n, make, _FOUND), "level").where("places is not null")
-        found = level.select("doc_id", F.lit(length).cast("long").alias("repeated_words"))
+        folder = new_path(spark, "repeats")
+
+        def each(folder=folder):
+            files = _Files(folder)
+
+            def run(bucket: int, path: str, table) -> Iterator[pa.RecordBatch]:
+                rows = []
+                for doc, size, sha, raw, _ in _records(path):
+                    found = _places_of(table, doc)
+                    if len(found):
+                        rows.append((doc, size, 0, sha))
+                        yield from files.add(bucket, (doc, size, sha, raw, found.astype("<i4").tobytes()))
+                if rows:
+                    yield _done(rows)
+
+            run.files = files
+            return run
+
+        level = saved(_on_files(level, places, n, each, _LEVEL_DDL, finish=lambda f: f.files.close()), "level")
+        found = level.where("done").select("doc_id", F.lit(length).cast("long").alias("repeated_words"))
         out = found if out is None else out.unionByName(found)
         if not level.limit(1).count():
             return out.groupBy("doc_id").agg(F.max("repeated_words").alias("repeated_words"))
