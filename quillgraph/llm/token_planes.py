@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -150,18 +151,36 @@ class ShardReader:
             held = data[4 * n :]
 
 
+#: What the file's pre-tokeniser takes apart, for words that the fast way may treat.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: White space inside a word, special tokens, letters that change under normalisation.
+_SLOW = regex.compile("[\x1c-\x1f\x85\xa0\u0130\u0300-\U0010ffff]|<\\|")
+
+
 class WordEncoder:
-    """Ids of whole texts by the library, which sees each word between ASCII white space once.
+    """Ids of whole texts by the library, which sees each piece of a word once.
 
-    The file's normaliser and pre-tokeniser never look across white space, so the ids of a
-    text are those of its words.
+    The file's normaliser and pre-tokeniser never look across ASCII white space, so the ids
+    of a text are those of its words; and the pre-tokeniser cuts a word into pieces that are
+    encoded one by one, so the ids of a word are those of its pieces.  Words in which the
+    normaliser does more than lower case go to the library as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.words = Memo(lambda w: np.array(self.t.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes())
+        self.pieces = Memo(self._library, most=1_000_000)
+        self.words = Memo(self._word, most=400_000)
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        w = word.decode()
+        if _SLOW.search(w):
+            return self._library(w)
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(w.lower())))
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, text.encode().split()))
