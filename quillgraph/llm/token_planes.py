@@ -27,14 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Memo, new_path, saved, small_batches, texts
+from quillgraph.llm.common import Memo, new_path, open_shared, saved, small_batches, texts
 
 MAGIC = b"QPLANES1"
 BLOCK_IDS = 65_536
@@ -157,25 +156,41 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N
 _SLOW = regex.compile("[\x1c-\x1f\x85\xa0\u0130\u0300-\U0010ffff]|<\\|")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies use: printable bytes stand for themselves, the others, in order, for the letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
 class WordEncoder:
     """Ids of whole texts by the library, which sees each piece of a word once.
 
     The file's normaliser and pre-tokeniser never look across ASCII white space, so the ids
     of a text are those of its words; and the pre-tokeniser cuts a word into pieces that are
-    encoded one by one, so the ids of a word are those of its pieces.  Words in which the
-    normaliser does more than lower case go to the library as a whole.
+    encoded one by one, so the ids of a word are those of its pieces.  Pieces are given to
+    the library's model; words in which the normaliser does more than lower case go to the
+    whole tokeniser.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.pieces = Memo(self._library, most=1_000_000)
+        self.model = self.t.model
+        self.pieces = Memo(self._piece, most=1_000_000)
         self.words = Memo(self._word, most=400_000)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(_LETTERS)
+        return np.array([k.id for k in self.model.tokenize(letters)], "<u4").tobytes()
+
     def _word(self, word: bytes) -> bytes:
         w = word.decode()
         if _SLOW.search(w):
@@ -189,11 +204,6 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def _open(path: str):
-    """A file system that the workers reach themselves, and the path in it."""
-    return pyarrow.fs.FileSystem.from_uri(path) if ":" in path else (pyarrow.fs.LocalFileSystem(), path)
-
-
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, bits: bool = False, ids_per_shard: int = SHARD_IDS, partitions: int | None = None) -> DataFrame:
     """Encode, write shards, and return their table: path, place (partition, number), documents, ids."""
     spark = docs.sparkSession
@@ -206,7 +216,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, bits: bool = Fals
         encode = _ENCODERS.setdefault(tokenizer, None) or WordEncoder(tokenizer)
         _ENCODERS[tokenizer] = encode
         part, number, w, path, sink, total = TaskContext.get().partitionId(), 0, None, "", None, 0
-        fs, root = _open(out)
+        fs, root = open_shared(out)
         fs.create_dir(root, recursive=True)
 
         def close():
@@ -242,7 +252,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs, at = _open(path)
+                fs, at = open_shared(path)
                 with fs.open_input_file(at) as f:
                     reader = ShardReader(f.read())
                 docs, starts, sizes, crcs, at = [], [], [], [], first or 0
