@@ -8,7 +8,8 @@ lists are intersected and united; the documents that remain are candidates, and
 expression verifies them.  A rule whose query is empty, as that for bare hexadecimal digits,
 scans all texts.
 
-Letters are compared in lower case in the index: this may add candidates, never lose one.
+Of a conjunction the rarest trigrams are kept.  Letters are compared without case in the
+index.  Both may add candidates, never lose one.
 
 Candidates go back to their texts by a broadcast join while they are few (``FEW_IDS``,
 counted), by a shuffle join beyond that.
@@ -147,11 +148,39 @@ def trigrams(q) -> set[str]:
     return set() if q is True else {q} if isinstance(q, str) else set().union(*(trigrams(x) for x in q[1]))
 
 
-def _lists(q, names: dict[str, int]) -> str:
+#: Fixed value: letters from frequent to rare, to tell which trigrams select best (quotes, which
+#: may or may not follow a word, come last).
+_FREQUENT = "etaoinsrhldcumfpgwybvkxjqz"
+#: Trigrams that a conjunction keeps.
+MOST_TERMS = 2
+
+
+def thin(q):
+    """The query with the rarest trigrams of each conjunction only: weaker, so it loses nothing."""
+    if not isinstance(q, tuple):
+        return q
+    parts = [thin(x) for x in q[1]]
+    if q[0] == "or":
+        return _any(parts)
+    rare = sorted((x for x in parts if isinstance(x, str)), key=lambda t: (-sum(_FREQUENT.index(c) if c in _FREQUENT else -30 if c in "\"'" else 30 for c in t), t))
+    return _all([x for x in parts if not isinstance(x, str)] + rare[:MOST_TERMS])
+
+
+def _any_of(names: list[str]) -> str:
+    """An expression for the trigrams that begin at a place, shared beginnings first."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for t in names:
+        tree.setdefault(t[0], {}).setdefault(t[1], []).append(t[2])
+    esc = lambda c: c if c.isalnum() or c in "_/: " else "\\" + c
+    group = lambda parts: parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+    return "|".join(esc(a) + group([esc(b) + group([esc(c) for c in cs]) for b, cs in bs.items()]) for a, bs in tree.items())
+
+
+def _lists(q) -> str:
     """SQL over the block's map of postings ``m``: the documents that fit the query."""
     if isinstance(q, str):
-        return f"coalesce(m[{names[q]}], cast(array() as array<bigint>))"
-    parts = [_lists(x, names) for x in sorted(q[1], key=str)]
+        return f"coalesce(m[{quoted(q)}], cast(array() as array<bigint>))"
+    parts = [_lists(x) for x in sorted(q[1], key=str)]
     out = parts[0]
     for p in parts[1:]:
         out = f"array_{'intersect' if q[0] == 'and' else 'union'}({out}, {p})"
@@ -160,16 +189,16 @@ def _lists(q, names: dict[str, int]) -> str:
 
 def candidates(docs: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """doc_id, rules (numbers of the rules whose trigram query it fits), by the index."""
-    queries = {i: q for i, (_, p, _) in enumerate(rules) if (q := trigram_query(p)) is not True}
-    names = {t: i for i, t in enumerate(sorted(set().union(*(trigrams(q) for q in queries.values()), set())))}
-    # a document's trigrams that the index keeps, then the postings by block
-    here = "filter(array(" + ", ".join(f"if(contains(low, {quoted(t)}), {i}, null)" for t, i in names.items()) + "), x -> x is not null)"
+    queries = {i: thin(q) for i, (_, p, _) in enumerate(rules) if (q := trigram_query(p)) is not True}
+    names = sorted(set().union(*(trigrams(q) for q in queries.values()), set()))
+    # a document's trigrams that the index keeps (one pass over the text), then postings by block
+    here = f"array_distinct(transform(regexp_extract_all(text, {quoted(f'(?i)(?=({_any_of(names)}))')}, 1), x -> lower(x)))"
     blocks = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.lower("text").alias("low")).select("doc_id", F.expr(here).alias("grams"))
-    n = max(1, rows.select(F.count(F.lit(1))).first()[0] // BLOCK)
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.expr(here).alias("grams"))
+    n = max(1, docs.count() // BLOCK)
     postings = rows.where("size(grams) > 0").select((blocks % n).alias("block"), "doc_id", F.explode("grams").alias("gram")).groupBy("block", "gram").agg(F.collect_set("doc_id").alias("docs"))
     index = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "docs"))).alias("m"))
-    fits = ", ".join(f"named_struct('rule', {i}, 'docs', {_lists(q, names)})" for i, q in queries.items())
+    fits = ", ".join(f"named_struct('rule', {i}, 'docs', {_lists(q)})" for i, q in queries.items())
     hits = index.select(F.expr(f"inline(array({fits}))")).select("rule", F.explode("docs").alias("doc_id"))
     return hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from quillgraph.llm.secret_index import BASE, RULES, candidates, masked, secrets, trigram_query, trigrams
+from quillgraph.llm.secret_index import BASE, RULES, candidates, masked, secrets, thin, trigram_query, trigrams
 from tests.llm.data import ODD, empty, odd
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -34,6 +34,7 @@ def test_queries():
     assert q["access"] == ("and", frozenset({"aki", "kia"}))
     assert "oke" in trigrams(q["assign"]) and q["assign"][0] == "or"
     assert {"beg", "pri", "---"} <= trigrams(q["private_key"])
+    assert thin(q["assign"])[0] == "or" and len(trigrams(thin(q["assign"]))) <= 14
     assert trigram_query("ab?c") is True and trigram_query("(abc|abd)+x") == ("or", frozenset({"abc", "abd"}))
 
 
