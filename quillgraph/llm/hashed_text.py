@@ -21,13 +21,18 @@ LONGEST = 40
 _PAIR = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def char_slots(word: bytes) -> np.ndarray:
-    """Slots of the character n-grams of a word with marked ends (long words: of both ends)."""
+def grams(word: bytes) -> list[str]:
+    """Character n-grams of a word with marked ends (long words: of both ends)."""
     w = word.decode("utf-8", "replace")
     if len(w) > LONGEST:
         w = w[: LONGEST // 2] + w[-LONGEST // 2 :]
     w = f"\x02{w}\x03"
-    return np.array([xxhash.xxh32_intdigest(w[i : i + n].encode()) % SLOTS for n in GRAMS for i in range(len(w) - n + 1)], np.int64)
+    k = len(w)
+    return [w[i : i + n] for n in GRAMS for i in range(k - n + 1)]
+
+
+def gram_slot(gram: str) -> int:
+    return xxhash.xxh32_intdigest(gram.encode()) % SLOTS
 
 
 def pair_slots(h: np.ndarray) -> np.ndarray:
@@ -43,7 +48,8 @@ class Features:
 
     def __init__(self) -> None:
         self.hashes = Memo(xxhash.xxh64_intdigest, most=200_000)
-        self.chars = Memo(char_slots, most=50_000)
+        slot = Memo(gram_slot, most=300_000)
+        self.chars = Memo(lambda word: np.array(list(map(slot.__getitem__, grams(word))), np.int64), most=50_000)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not words:
@@ -69,7 +75,13 @@ class Scorer:
         self.bias = bias
         chars = self.w[2 * SLOTS :]
         self.hashes = Memo(xxhash.xxh64_intdigest, most=200_000)
-        self.chars = Memo(lambda word: float(chars[char_slots(word)].mean()), most=200_000)
+        gram = Memo(lambda g: float(chars[gram_slot(g)]), most=300_000)
+
+        def mean(word: bytes) -> float:
+            found = grams(word)
+            return sum(map(gram.__getitem__, found)) / len(found)
+
+        self.chars = Memo(mean, most=300_000)
 
     def __call__(self, words: list[bytes], h: np.ndarray | None = None) -> float:
         n = len(words)
