@@ -76,5 +76,18 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_pii_labellers, op2_token_planes, op3_quality_rules, op4_weak_labels, op5_byte_bpe, op6_secret_index, op7_toxicity_trees, op8_latent_decontamination, op9_window_doubling, op10_golay_simhash)}
 
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN least USING (k) WHERE doc_id > m),
+g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (SELECT d.doc_id, len(w) AS n, coalesce(len(ps), 0) AS r, CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(ps, p)), lambda p: w[p]) END AS ws FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(coalesce(array_to_string(ws, ' '), '')) AS kept_sha256 FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has no XXH64, no tokenisers and no training, so only this one has a twin; the tests
+    run the others against slow versions."""
+    return {"op9_window_doubling": OP9_SQL}
