@@ -35,6 +35,10 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _STRETCH = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
+#: States that a transducer holds; memory and time go opposite ways.
+MOST_STATES = 400_000
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -64,10 +68,10 @@ class Transducer:
     """States are numbers; ``step`` reads a byte and ``finish`` emits what is pending.
 
     A state is (bytes read since the last certain boundary, last token at each position
-    or None, bit set of the boundaries on the way to each position).
+    or None).  ``most_states`` bounds all memos; they start anew when full.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
         self.ranks, self.most_states = ranks, most_states
         self.token = {i: b for b, i in ranks.items()}
         self._made: dict[bytes, tuple] = {}
@@ -83,9 +87,9 @@ class Transducer:
     def _reset(self) -> None:
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
-        self.next: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.end: dict[int, tuple[int, ...]] = {}
-        self._state((b"", (None,), (1,)))
+        self.next: dict[int, int] = {}
+        self.out: dict[int, tuple[int, ...]] = {}  # of the transitions that emit
+        self._state((b"", (None,)))
 
     def _state(self, state: tuple) -> int:
         n = self.number.get(state)
@@ -116,7 +120,7 @@ class Transducer:
         key = a << 32 | b
         v = self._fits.get(key)
         if v is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 5 * self.most_states // 2:
                 self._fits.clear()
             x, y = self.token[a], self.token[b]
             if self.made(x)[2] and self.made(y)[2]:
@@ -150,13 +154,22 @@ class Transducer:
             return True
         v = self._grows.get((before, t))
         if v is None:
-            if len(self._grows) > 500_000:
+            if len(self._grows) > 5 * self.most_states // 4:
                 self._grows.clear()
             v = self._grows[before, t] = any(self.fits(before, i) for i in found)
         return v
 
+    def _ways(self, last: tuple) -> list[int]:
+        """Bit sets of the boundaries on the way to each position."""
+        ways, token = [1], self.token
+        for p, t in enumerate(last):
+            if p:
+                ways.append(0 if t is None else ways[p - len(token[t])] | 1 << p)
+        return ways
+
     def _make(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        held, last, ways = self.states[at]
+        held, last = self.states[at]
+        ways = self._ways(last)
         held += bytes((byte,))
         n, ranks, live = len(held), self.ranks, []
         token = None
@@ -178,31 +191,32 @@ class Transducer:
             common &= ways[p]
             kept |= ways[p]
         cut = common.bit_length() - 1
-        last, ways = (*last, token), (*ways, way)
+        last = (*last, token)
         out, p = [], cut
         while p:
             out.append(last[p])
             p -= len(self.token[last[p]])
-        new = (held[cut:], tuple([last[p] if kept >> p & 1 else None for p in range(cut, n + 1)]), tuple([ways[p] >> cut if kept >> p & 1 else 0 for p in range(cut, n + 1)]))
-        return self._state(new), tuple(out[::-1])
+        return self._state((held[cut:], tuple([last[p] if kept >> p & 1 else None for p in range(cut, n + 1)]))), tuple(out[::-1])
 
     def step(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """The next state, and what is certain by now."""
         key = at << 8 | byte
-        found = self.next.get(key)
-        if found is None:
-            found = self.next[key] = self._make(at, byte)
-        return found
-
-    def finish(self, at: int) -> tuple[int, ...]:
-        out = self.end.get(at)
-        if out is None:
-            held, last, _ = self.states[at]
-            p, back = len(held), []
-            while p:
-                back.append(last[p])
-                p -= len(self.token[last[p]])
-            out = self.end[at] = tuple(back[::-1])
-        return out
+        to = self.next.get(key)
+        if to is None:
+            to, out = self._make(at, byte)
+            self.next[key] = to
+            if out:
+                self.out[key] = out
+        return to, self.out.get(key, ())
+
+    def finish(self, at: int) -> list[int]:
+        """The tokens that are pending when a piece ends."""
+        held, last = self.states[at]
+        p, back = len(held), []
+        while p:
+            back.append(last[p])
+            p -= len(self.token[last[p]])
+        return back[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -210,14 +224,13 @@ class Transducer:
             return [whole]
         if len(self.states) > self.most_states:
             self._reset()
-        at, ids, step = 0, [], self.next.get
+        at, ids, step, emits = 0, [], self.next.get, self.out
         for byte in piece:
-            found = step(at << 8 | byte)
-            if found is None:
-                found = self.step(at, byte)
-            at = found[0]
-            if found[1]:
-                ids += found[1]
+            key = at << 8 | byte
+            at_next = step(key)
+            at = self.step(at, byte)[0] if at_next is None else at_next
+            if key in emits:
+                ids += emits[key]
         ids += self.finish(at)
         return ids
 
@@ -255,15 +268,16 @@ class Codec:
 
     CHUNK = 65_536
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, most_states: int = MOST_STATES):
         self.ranks = load_ranks(path)
-        self.transducer = Transducer(self.ranks)
+        self.transducer = Transducer(self.ranks, most_states)
+        most = 3 * most_states // 4
         self.pieces = regex.compile(pattern)
         self.of_id: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for t, i in self.ranks.items():
             self.of_id[i] = t
-        self._piece = Memo(lambda p: np.array(self.transducer.encode(p.encode()), "<u4").tobytes())
-        self._stretch = Memo(lambda s: b"".join(map(self._piece.__getitem__, self.pieces.findall(s))))
+        self._piece = Memo(lambda p: np.array(self.transducer.encode(p.encode()), "<u4").tobytes(), most=most)
+        self._stretch = Memo(lambda s: b"".join(map(self._piece.__getitem__, self.pieces.findall(s))), most=most)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -276,21 +290,22 @@ class Codec:
             yield b"".join(map(self.of_id.__getitem__, many[k : k + self.CHUNK].tolist()))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, most_states: int = MOST_STATES) -> Codec:
     """One codec a worker process: its states serve all tasks there."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    key = (path, pattern, most_states)
+    if key not in _CODECS:
+        _CODECS[key] = Codec(*key)
+    return _CODECS[key]
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, most_states: int = MOST_STATES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_chars of the decoded text."""
 
     def make():
-        c = codec(path, pattern)
+        c = codec(path, pattern, most_states)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, a, b, chars = [], [], [], []

@@ -55,6 +55,8 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
         for batch in batches:
             if batch.num_rows:
                 yield f(batch)
+        # workers are used again by later stages: what this task held goes back
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
