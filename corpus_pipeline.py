@@ -43,7 +43,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text."""
-    return bpe_transducer.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    # the workers still hold what earlier stages took: a quarter of the usual memos
+    return bpe_transducer.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, bpe_transducer.MOST_STATES // 4)
 
 
 STAGES = [
