@@ -74,14 +74,14 @@ class Scorer:
         self.w = weights.astype(np.float64)
         self.bias = bias
         chars = self.w[2 * SLOTS :]
-        self.hashes = Memo(xxhash.xxh64_intdigest, most=200_000)
+        self.hashes = Memo(xxhash.xxh64_intdigest, most=600_000)
         gram = Memo(lambda g: float(chars[gram_slot(g)]), most=300_000)
 
         def mean(word: bytes) -> float:
             found = grams(word)
             return sum(map(gram.__getitem__, found)) / len(found)
 
-        self.chars = Memo(mean, most=300_000)
+        self.chars = Memo(mean, most=800_000)
 
     def __call__(self, words: list[bytes], h: np.ndarray | None = None) -> float:
         n = len(words)

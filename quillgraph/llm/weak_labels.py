@@ -74,7 +74,7 @@ def weak_quality(docs: DataFrame, max_sample: int = MAX_SAMPLE, threshold: float
     docs = docs.select("doc_id", "text")
 
     def make_votes():
-        hashes = Memo(xxhash.xxh64_intdigest, most=200_000)
+        hashes = Memo(xxhash.xxh64_intdigest, most=600_000)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = []
