@@ -164,7 +164,11 @@ def _doc_blocks(doc: np.ndarray, at: np.ndarray, buckets: int) -> list[tuple[int
 
 
 def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
-    """As ``pmod(doc_id, buckets)``; ``buckets`` is prime, so that steps in doc_id do no harm."""
+    """As ``pmod(doc_id, buckets)``; ``buckets`` is prime, so that steps in doc_id do no harm.
+
+    There are about as many buckets as partitions, each dealt to the partition of its number:
+    a task sends one block to each, however many there are of either.
+    """
     return np.mod(doc, buckets)
 
 
@@ -223,7 +227,7 @@ def _repeated(sent: DataFrame, n: int, both: bool, anchors_only: bool = False) -
             hit = known[group]
         return _doc_blocks(doc[hit], at[hit], buckets)
 
-    buckets, sizes = _prime(4 * n), _SIEVE if anchors_only else _DECIDE
+    buckets, sizes = _prime(n), _SIEVE if anchors_only else _DECIDE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
@@ -241,7 +245,7 @@ def _repeated(sent: DataFrame, n: int, both: bool, anchors_only: bool = False) -
         if held:
             yield _rows(_PLACES, settle(held))
 
-    return sent.repartition(n, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(run, _BLOCK_DDL)
+    return sent.repartitionById(n, F.col("bucket")).sortWithinPartitions("kind", "bucket").mapInArrow(run, _BLOCK_DDL)
 
 
 def _table(held: list) -> tuple[np.ndarray, np.ndarray]:
@@ -339,9 +343,9 @@ def _half_level(docs: DataFrame, length: int, n: int) -> DataFrame:
             at = anchors(h, span)
             yield doc, h[at], np.zeros(len(at), np.int64), at
 
-    sent = _send(docs.where("doc_id is not null"), windows, _prime(4 * n), True, anchors_only=True)
+    sent = _send(docs.where("doc_id is not null"), windows, _prime(n), True, anchors_only=True)
     places = _repeated(sent, n, True, anchors_only=True)
-    bucket = F.coalesce(F.pmod("doc_id", F.lit(_prime(4 * n))), F.lit(-1)).cast("int")
+    bucket = F.coalesce(F.pmod("doc_id", F.lit(_prime(n))), F.lit(0)).cast("int")
     text_rows = docs.select(F.lit(_PLACES + 1).alias("kind"), bucket.alias("bucket"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("block"), "doc_id", "text")
     place_rows = places.select("kind", "bucket", "n", "block", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
 
@@ -366,7 +370,7 @@ def _half_level(docs: DataFrame, length: int, n: int) -> DataFrame:
                 yield _done(done)
         yield from files.close()
 
-    met = place_rows.unionByName(text_rows).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    met = place_rows.unionByName(text_rows).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "kind")
     return saved(met.mapInArrow(run, _LEVEL_DDL), "level")
 
 
@@ -382,7 +386,7 @@ def _send_longer(level: DataFrame, length: int, reach: int, n: int, both: bool)
                     second = (window_hashes(words, length, 1)[at] >> np.uint64(32)).astype(np.int64)
                     yield doc, window_hashes(words, length)[at], second, at
 
-    return _send(level.where("not done").select("path").repartition(n, "path"), windows, _prime(4 * n), both)
+    return _send(level.where("not done").select("path").repartition(n, "path"), windows, _prime(n), both)
 
 
 def _on_files(level: DataFrame, places: DataFrame, n: int, each, schema: str, finish=None) -> DataFrame:
@@ -403,7 +407,7 @@ def _on_files(level: DataFrame, places: DataFrame, n: int, each, schema: str, fi
         if finish:
             yield from finish(f)
 
-    met = place_rows.unionByName(file_rows).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    met = place_rows.unionByName(file_rows).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "kind")
     return met.mapInArrow(run, schema)
 
 
