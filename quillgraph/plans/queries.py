@@ -332,25 +332,19 @@ def pagerank(spark, d):
     return centrality.pagerank(*_places(spark, d), rounds=5).select("name", F.round("pagerank", 8).alias("pagerank"))
 
 
-def _sites(spark, d) -> tuple[DataFrame, DataFrame]:
-    """A small graph: nations, regions and suppliers."""
-    t = base.place_triples(spark, d).where("subject_type <> 'CUSTOMER'")
-    return graph.build(t)
-
-
 @query()
 def betweenness(spark, d):
-    return centrality.betweenness(*_sites(spark, d)).select("name", F.round("betweenness", 8).alias("betweenness"))
+    return centrality.betweenness(*_graph(spark, d)).select("name", F.round("betweenness", 8).alias("betweenness"))
 
 
 @query()
 def communities(spark, d):
-    return community.communities(*_sites(spark, d)).select("community_id", F.array_join("members", ",").alias("members"), "size")
+    return community.communities(*_graph(spark, d)).select("community_id", F.array_join("members", ",").alias("members"), "size")
 
 
 @query()
 def insights(spark, d):
-    return centrality.top_entities(centrality.centrality(*_sites(spark, d)))
+    return centrality.top_entities(centrality.centrality(*_graph(spark, d)))
 
 
 # --- snapshots
