@@ -8,6 +8,8 @@ out once and kept in a bounded memo.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 
@@ -17,18 +19,14 @@ from quillgraph.llm.common import Memo
 SLOTS = 1 << 14
 SIZE = 3 * SLOTS
 GRAMS = (2, 3, 4)
-LONGEST = 40
 _PAIR = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def grams(word: bytes) -> list[str]:
-    """Character n-grams of a word with marked ends (long words: of both ends)."""
-    w = word.decode("utf-8", "replace")
-    if len(w) > LONGEST:
-        w = w[: LONGEST // 2] + w[-LONGEST // 2 :]
-    w = f"\x02{w}\x03"
+def grams(word: bytes) -> tuple[int, Iterator[str]]:
+    """Number of the character n-grams of a whole word with marked ends, and themselves one by one."""
+    w = f"\x02{word.decode('utf-8', 'replace')}\x03"
     k = len(w)
-    return [w[i : i + n] for n in GRAMS for i in range(k - n + 1)]
+    return sum(max(0, k - n + 1) for n in GRAMS), (w[i : i + n] for n in GRAMS for i in range(k - n + 1))
 
 
 def gram_slot(gram: str) -> int:
@@ -49,7 +47,7 @@ class Features:
     def __init__(self) -> None:
         self.hashes = Memo(xxhash.xxh64_intdigest, most=200_000)
         slot = Memo(gram_slot, most=300_000)
-        self.chars = Memo(lambda word: np.array(list(map(slot.__getitem__, grams(word))), np.int64), most=50_000)
+        self.chars = Memo(lambda word: np.fromiter(map(slot.__getitem__, grams(word)[1]), np.int64), most=50_000)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not words:
@@ -78,8 +76,8 @@ class Scorer:
         gram = Memo(lambda g: float(chars[gram_slot(g)]), most=300_000)
 
         def mean(word: bytes) -> float:
-            found = grams(word)
-            return sum(map(gram.__getitem__, found)) / len(found)
+            n, found = grams(word)
+            return sum(map(gram.__getitem__, found)) / n
 
         self.chars = Memo(mean, most=800_000)
 
