@@ -62,23 +62,31 @@ def without_self(hits: DataFrame) -> DataFrame:
     return hits.where("key <> query_id")
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+#: Queries of one block, which is broadcast.
+MOST_QUERIES = 100_000
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", most: int = MOST_QUERIES) -> DataFrame:
     """V8's backend: exact cosine of each query to each vector: query_id, key, score, rank.
 
-    The queries are a stated set, read in one block beside all rows; its size is checked
-    before it is broadcast.
+    The queries are read in blocks beside all rows: one, or beyond ``most`` queries as many as
+    keep a block near that size, dealt by hash of key.  All rows of a query_id share a block, so
+    the ranks of the blocks are those of the whole.
     """
     q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("qv")).where("qv is not null")
-    most = 100_000
-    if q.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries: search them in blocks")
-    # each row meets the block of queries as one array
-    block = q.agg(F.collect_list(F.struct("query_id", "qv")).alias("block"))
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).where("v is not null")
-    pairs = rows.join(F.broadcast(block), F.lit(True)).select("key", "v", F.explode("block").alias("q"))
-    scored = pairs.select(F.col("q.query_id").alias("query_id"), "key", dense_cosine(F.col("q.qv"), F.col("v")).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.desc("key"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    n = -(-q.count() // most)
+    parts = [q] if n <= 1 else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+    out = None
+    for part in parts:
+        # each row meets the block of queries as one array
+        block = part.agg(F.collect_list(F.struct("query_id", "qv")).alias("block"))
+        pairs = rows.join(F.broadcast(block), F.lit(True)).select("key", "v", F.explode("block").alias("q"))
+        scored = pairs.select(F.col("q.query_id").alias("query_id"), "key", dense_cosine(F.col("q.qv"), F.col("v")).alias("score"))
+        w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.desc("key"))
+        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def needs_rebuild(stored: DataFrame, chunks: DataFrame) -> DataFrame:
