@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch.  Texts are whole, so a batch must hold few of them.
 BATCH_ROWS = 256
@@ -19,11 +22,14 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (as in tests) a temporary one is set for this process.
+    Where it is unset, a local session (as in tests) gets a temporary one for this process; on a
+    cluster that would be a folder which the executors cannot see, so it is an error there.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
@@ -46,7 +52,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], rows: int = BATCH_ROWS) -> DataFrame:
+def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` whose function is made once a task; empty batches are skipped."""
     small_batches(df.sparkSession, rows)
 
@@ -75,19 +81,61 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def one_a_document(rows: DataFrame, *by: str) -> DataFrame:
+    """Of rows that share ``doc_id`` (and the columns ``by``, which follow from it) the one whose
+    text has the least hash, so that a bound on documents is a bound on rows."""
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("least")
+    return rows.groupBy("doc_id", *by).agg(least).select("doc_id", F.col("least.text").alias("text"), *by)
+
+
+def free(name: str, columns: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(columns: list[str]) -> list:
+    """Columns by their plain names, whatever is in these."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
+
+
+def joined_by_id(docs: DataFrame, found: DataFrame, how: str, few: int) -> DataFrame:
+    """``docs`` (left or left_anti) join ``found`` (saved, of distinct doc_ids, none null) by doc_id.
+
+    ``found`` is broadcast while it has ``few`` rows at most (counted).  Beyond that both are
+    shuffled; rows without doc_id match nothing and stay out of the shuffle.
+    """
+    columns = [*docs.columns, *(c for c in found.columns if how == "left" and c != "doc_id")]
+    if found.limit(few + 1).count() <= few:
+        return docs.join(F.broadcast(found), "doc_id", how).select(*named(columns))
+    rest = docs.where("doc_id is null")
+    met = docs.where("doc_id is not null").join(found, "doc_id", how).select(*named(columns))
+    return met.unionByName(rest, allowMissingColumns=True)
+
+
 class Memo(dict):
-    """A bounded memo: ``memo[key]`` computes what is missing; it starts anew when full."""
+    """A bounded memo of two generations: ``memo[key]`` computes what is missing.
+
+    When the young one has ``most / 2`` entries it becomes the old one, and the old one goes;
+    what is asked for meanwhile moves back to the young one, so frequent keys stay.
+    """
 
     def __init__(self, f: Callable, most: int = 300_000, longest: int = 64):
         super().__init__()
-        self.f, self.most, self.longest = f, most, longest
+        self.f, self.half, self.longest, self.old = f, most // 2, longest, {}
 
     def __missing__(self, key):
-        value = self.f(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = value
+        value = self.old.get(key)
+        if value is None:
+            value = self.f(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 

@@ -5,8 +5,9 @@ beginnings learned from labels), how near its hits stand to words of the second
 capitals, punctuation, and rates of obfuscated words (digits or signs inside a word, and
 hits found only after undoing them).
 
-The learned lexicon is counted by Spark over a bounded sample of labelled rows
-(``max_labelled``, of least XXH64 of doc_id).  The sample has two halves; a row's training
+The learned lexicon is counted by Spark, in one pass, over a bounded sample of labelled
+documents (``max_labelled``, of least XXH64 of doc_id; one row a document, that of least
+XXH64 of text); its ``MOST_TERMS`` strongest terms are the model's lexicon.  The sample has two halves; a row's training
 features use the lexicon of the other half, so that the trees see hits as new texts have
 them.  The scores for isotonic calibration come from trees of the other half, too.
 
@@ -14,20 +15,26 @@ Only documents whose crc32(doc_id as text) mod 3 is not 1 give labels; labels, l
 and doc_id are no inputs of a score.
 
 Defined cases: null and empty texts get the score of a text without words; several labels
-of a document count as their greatest; without rows of both classes every score is 0.
+of a document count as their greatest; null labels and labels of unknown documents are
+ignored; without rows of both classes every score is 0; repeated rows are scored one by one;
+rows without doc_id are scored and neither held out nor learned from; an empty table gives no
+rows; extra columns, whatever their names, are ignored (``score`` passes on those asked for).
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillgraph.llm.common import Memo, map_batches, raw_texts, saved
+from quillgraph.llm.common import Memo, map_batches, named, one_a_document, raw_texts, saved, small_batches
 
 MAX_LABELLED = 12_000
 THRESHOLD = 0.7
@@ -43,9 +50,14 @@ _FIXED, _WORD, _START, _SECOND, _CAPITALS, _CAPITAL, _INSIDE, _HIDDEN = (1 << k
 NAMES = ("fixed", "words", "starts", "any_hits", "hit_count", "hidden", "inside", "second", "near", "nearest", "capitals", "capital", "marks", "exclaims", "longest_run", "log_words")
 
 
+def whole(w: str) -> str:
+    """The term of a whole word; long words are known by their hash."""
+    return f"={w}" if len(w) <= 60 else f"#{xxhash.xxh3_128_hexdigest(w.encode())}"
+
+
 def terms(word: str) -> list[str]:
     w = _EDGE.sub("", word.lower())
-    return ([f"={w}"] + [w[:k] for k in BEGINNINGS if len(w) >= k]) if w and len(w) <= 60 else []
+    return [whole(w)] + [w[:k] for k in BEGINNINGS if len(w) >= k] if w else []
 
 
 def word_code(raw: bytes, lexicon: frozenset) -> int:
@@ -55,7 +67,7 @@ def word_code(raw: bytes, lexicon: frozenset) -> int:
     code = 0
     if w in INSULTS:
         code |= _FIXED
-    if f"={w}" in lexicon:
+    if whole(w) in lexicon:
         code |= _WORD
     if any(w[:k] in lexicon for k in BEGINNINGS if len(w) >= k):
         code |= _START
@@ -68,7 +80,7 @@ def word_code(raw: bytes, lexicon: frozenset) -> int:
     if w and not w.isalpha() and any(c.isalpha() for c in w):
         code |= _INSIDE
         plain = w.translate(_UNDO)
-        if plain != w and (plain in INSULTS or f"={plain}" in lexicon):
+        if plain != w and (plain in INSULTS or whole(plain) in lexicon):
             code |= _HIDDEN
     return code
 
@@ -181,29 +193,45 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     y = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y"))
     mine = y.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     chosen = mine.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
-    return saved(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
+    return saved(one_a_document(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "y", "half"), "toxic-sample")
 
 
-def _lexicons(sample: DataFrame) -> list[frozenset]:
-    """Learned terms of half 0, of half 1, and of both: frequent in toxic rows, rare in others."""
+#: Terms that a task counts before it sends the counts on.
+GATHER = 100_000
 
-    def make():
-        memo = Memo(lambda w: terms(w.decode("utf-8", "replace")), most=100_000)
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found, y, half = [], [], []
-            for raw, a, b in zip(raw_texts(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                here = {t for w in set(raw.split()) for t in memo[w]}
-                found += here
-                y += [a] * len(here)
-                half += [b] * len(here)
-            return pa.record_batch([pa.array(found, pa.string()), pa.array(y, pa.float64()), pa.array(half, pa.int32())], ["term", "y", "half"])
+def _counts(sample: DataFrame) -> DataFrame:
+    """term, t0, c0, t1, c1: in how many toxic and clean rows of each half a term is."""
 
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(lambda w: terms(w.decode("utf-8", "replace")), most=40_000)
+        found: dict[str, list[int]] = {}
 
-    rows = map_batches(sample.select("text", "y", "half"), "term string, y double, half int", make)
-    count = lambda y, half: F.sum(F.when((F.col("y") == y) & (F.col("half") == half), 1).otherwise(0))
-    counts = rows.groupBy("term").agg(count(1, 0).alias("t0"), count(0, 0).alias("c0"), count(1, 1).alias("t1"), count(0, 1).alias("c1"))
+        def out() -> pa.RecordBatch:
+            names, counts = list(found), np.array(list(found.values()), np.int64).reshape(-1, 4)
+            found.clear()
+            return pa.record_batch([pa.array(names, pa.string()), *(pa.array(c) for c in counts.T)], ["term", "t0", "c0", "t1", "c1"])
+
+        for batch in batches:
+            for raw, y, half in zip(raw_texts(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                k = 2 * half + (y < 0.5)
+                for t in {t for w in set(raw.split()) for t in memo[w]}:
+                    n = found.get(t)
+                    if n is None:
+                        n = found[t] = [0, 0, 0, 0]
+                    n[k] += 1
+                if len(found) >= GATHER:
+                    yield out()
+        yield out()
+
+    small_batches(sample.sparkSession)
+    return sample.select("text", "y", "half").mapInArrow(run, "term string, t0 long, c0 long, t1 long, c1 long")
+
+
+def _lexicons(sample: DataFrame) -> list[frozenset]:
+    """Learned terms of half 0, of half 1, and of both: frequent in toxic rows, rare in others."""
+    summed = _counts(sample).groupBy("term").agg(*(F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")))
+    counts = saved(summed.where(F.col("t0") + F.col("t1") >= 3), "toxic-terms")
     sizes = sample.groupBy("half").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).collect()
     n = {r.half: (r.t, r.c) for r in sizes}
     out = []
@@ -225,7 +253,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     lexicons = _lexicons(sample)
 
     def make():
-        codes = [Memo(lambda w, k=k: word_code(w, lexicons[k]), most=100_000) for k in (0, 1)]
+        codes = [Memo(lambda w, k=k: word_code(w, lexicons[k]), most=60_000) for k in (0, 1)]
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = [np.array(features(raw, codes[1 - half])).tobytes() for raw, half in zip(raw_texts(batch, "text"), batch.column(3).to_pylist(), strict=True)]
@@ -249,7 +277,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 def score(docs: DataFrame, model: dict | None, columns: list[str], threshold: float = THRESHOLD, name: str = "score") -> DataFrame:
     """The columns, and the score; rows keep their number."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
+    schema = StructType([*docs.select(*named(columns)).schema, StructField(name, DoubleType())])
     wanted = list(dict.fromkeys([*columns, "text"]))
 
     def make():
@@ -264,7 +292,7 @@ def score(docs: DataFrame, model: dict | None, columns: list[str], threshold: fl
 
         return run
 
-    return map_batches(docs.select(*wanted), f"{schema}, `{name}` double", make)
+    return map_batches(docs.select(*named(wanted)), schema, make)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
