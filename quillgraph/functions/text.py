@@ -125,8 +125,22 @@ def parse_path_query(text: str) -> tuple[str, str] | None:
 
 
 def two_places(x: Column | str) -> Column:
-    """A confidence with two digits, half to even on the decimal value as written."""
-    return F.format_string("%.2f", F.bround(c(x).cast("decimal(20,10)"), 2).cast("double"))
+    """A number with two digits after the point, rounded by its exact binary value (ties to even).
+
+    200 x is held as the exact sum of two doubles (the products of its upper 24 bits and of the
+    rest) and compared with the odd number at which the last digit changes.
+    """
+    v = c(x).cast("double")
+    a = F.abs(v)
+    low = F.floor(a * 100).cast("double")
+    upper = a.cast("float").cast("double")
+    over = (upper * 200 - (low * 2 + 1)) + (a - upper) * 200
+    up = (over > 0) | ((over == 0) & (low % 2 == 1))
+    cents = (low + F.when(up, 1.0).otherwise(0.0)).cast("long")
+    digits = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    signed = F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), digits)
+    # beyond this a double has fewer than two digits after the point to round
+    return F.when(a < 1e9, signed).otherwise(F.format_string("%.2f", v))
 
 
 def mime_of(path: Column | str) -> Column:

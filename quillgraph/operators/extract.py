@@ -10,8 +10,6 @@ from __future__ import annotations
 import base64
 import json
 import re
-import time
-import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import parse_triples
 from quillgraph.operators.graph import confident
+from quillgraph.operators.iterate import numbered
 from quillgraph.schemas import TRIPLES
 
 Backend = Callable[[str, str, list[tuple[str, float]], str | None], str]
@@ -50,38 +49,21 @@ def image_message(content: bytes, mime: str, prompt: str) -> list[dict]:
     return [{"role": "user", "content": [{"type": "text", "text": prompt}, {"type": "image_url", "image_url": {"url": f"data:{mime};base64,{data}"}}]}]
 
 
-class HttpBackend:
-    """A chat-completion endpoint; three tries, waits of one and two seconds between."""
-
-    def __init__(self, url: str, model: str, timeout: float = 120, tries: int = 3, entity_types: tuple[str, ...] = (), relation_types: tuple[str, ...] = (), plain: bool = False):
-        self.url, self.model, self.timeout, self.tries, self.plain = url, model, timeout, tries, plain
-        self.entity_types, self.relation_types = list(entity_types), list(relation_types)
-
-    def complete(self, prompt: str) -> str:
-        body = {"model": self.model, "stream": False} | ({"prompt": prompt} if self.plain else {"messages": [{"role": "user", "content": prompt}]})
-        for k in range(self.tries):
-            try:
-                request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
-                with urllib.request.urlopen(request, timeout=self.timeout) as f:
-                    answer = json.load(f)
-                return answer["response"] if self.plain else answer["choices"][0]["message"]["content"]
-            except Exception:
-                if k == self.tries - 1:
-                    raise
-                time.sleep(2**k)
-        raise AssertionError
-
-    def __call__(self, text: str, chunk_id: str, contexts: list[tuple[str, float]], image_path: str | None = None) -> str:
-        return self.complete(build_prompt(text, self.entity_types, self.relation_types, contexts))
+def mime_of_path(path: str) -> str:
+    ext = path.rsplit(".", 1)[-1].lower()
+    return "image/jpeg" if ext in ("jpg", "jpeg") else f"image/{ext}" if ext in ("webp", "bmp", "gif") else "image/png"
 
 
 def extract(chunks: DataFrame, backend: Backend = rule_backend, threshold: float = 0.7, contexts: DataFrame | None = None, k: int = 3) -> DataFrame:
     """Triples of chunks (id, text, ...), with provenance, above the threshold.
 
     An answer that cannot be parsed, and a backend's error, give the chunk no triples.
-    ``contexts`` (id, text, score, rank) come from retrieval.
+    ``contexts`` (id, text, score, rank) come from retrieval.  ``ord`` numbers the chunks (each
+    its own number); where there is none, they are numbered by id.
     """
-    rows = chunks.select("id", "text", *(["image_path"] if "image_path" in chunks.columns else [F.lit(None).cast("string").alias("image_path")]), *(["ord"] if "ord" in chunks.columns else [F.xxhash64("id").alias("ord")]))
+    rows = chunks.select("id", "text", *(["image_path"] if "image_path" in chunks.columns else [F.lit(None).cast("string").alias("image_path")]), *(["ord"] if "ord" in chunks.columns else []))
+    if "ord" not in rows.columns:
+        rows = numbered(rows, "id", "text")
     if contexts is not None:
         near = contexts.where(F.col("rank") <= k).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text", "score"))), lambda x: F.struct(x["text"].alias("text"), x["score"].alias("score"))).alias("contexts"))
         rows = rows.join(near, "id", "left")
@@ -101,27 +83,12 @@ def extract(chunks: DataFrame, backend: Backend = rule_backend, threshold: float
 
     raw = rows.mapInPandas(run, "id string, ord long, raw string")
     one = raw.select("id", "ord", F.posexplode(parse_triples("raw")).alias("pos", "t")).select("t.*", F.col("id").alias("source_chunk"), F.struct("ord", "id", "pos").alias("_at"))
-    # ordinals for first-wins rules: by chunk order, then place in the answer
-    out = confident(one, threshold).withColumn("triple_ord", F.col("_at.ord") * 10_000 + F.col("_at.pos")).drop("_at")
+    # ordinals for first-wins rules: by chunk number, then place in the answer, which an answer
+    # of two gigabytes does not exhaust
+    out = confident(one, threshold).withColumn("triple_ord", F.shiftleft(F.col("_at.ord"), 24) + F.col("_at.pos")).drop("_at")
     return out.select(*[c.strip().split(" ")[0] for c in TRIPLES.split(",")])
 
 
-def summarize(pages: DataFrame, complete: Callable[[str], str]) -> DataFrame:
-    """Name, summary from a text backend; an error leaves the default sentence (null)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for content in pdf.content:
-                try:
-                    out.append(complete("Summarise in two sentences:\n\n" + content))
-                except Exception:
-                    out.append(None)
-            yield pd.DataFrame({"name": pdf.name_, "summary": out})
-
-    return pages.select(F.col("name").alias("name_"), "content").mapInPandas(run, "name string, summary string")
-
-
 def validate(triples: DataFrame, relation_types: DataFrame) -> DataFrame:
     """Ontology check: triples with a column ``problem`` (null where there is none)."""
     o = F.broadcast(relation_types.select(F.col("type").alias("relation"), "valid_subject", "valid_object", F.lit(True).alias("_known")))

@@ -21,6 +21,7 @@ DEFAULT_RELATION = "RELATED_TO"
 DEFAULT_TYPE = "ENTITY"
 
 
+# The default settings.
 @dataclass(frozen=True)
 class Settings:
     """Numbers and names that operators take as defaults."""
@@ -59,11 +60,17 @@ def load_settings(path: str | None = None) -> Settings:
 
 
 def load_ontology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """entity_types (type, label, description), relation_types (type, label, valid_subject, valid_object)."""
+    """entity_types (type, label, description), relation_types (type, label, valid_subject, valid_object).
+
+    The file has lists ``entities`` and ``relations`` (or ``entity_types`` and ``relation_types``);
+    one that has neither is an error.
+    """
     with open(path, encoding="utf-8") as f:
         found = json.load(f)
-    entities = [(e.get("type"), e.get("label"), e.get("description")) for e in found.get("entity_types", [])]
-    relations = [(r.get("type"), r.get("label"), r.get("valid_subject"), r.get("valid_object")) for r in found.get("relation_types", [])]
+    if not {"entities", "relations", "entity_types", "relation_types"} & set(found):
+        raise ValueError(f"no ontology in {path}")
+    entities = [(e.get("type"), e.get("label"), e.get("description")) for e in found.get("entities", found.get("entity_types", []))]
+    relations = [(r.get("type"), r.get("label"), r.get("valid_subject"), r.get("valid_object")) for r in found.get("relations", found.get("relation_types", []))]
     return (
         spark.createDataFrame(entities, "type string, label string, description string"),
         spark.createDataFrame(relations, "type string, label string, valid_subject array<string>, valid_object array<string>"),
