@@ -89,10 +89,14 @@ def similar_pairs(names: DataFrame, threshold: float = 0.85, mode: str = "edit")
     return later.join(both, "a").join(earlier, "b").where("earlier_ord < ord").select("name", "ord", "earlier", "earlier_ord")
 
 
-def leaders(names: DataFrame, pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """R2: name, canonical."""
+def leaders(names: DataFrame, pairs: DataFrame, most_rounds: int = 200, decided: DataFrame | None = None) -> DataFrame:
+    """R2: name, canonical.  ``decided`` (name, canonical): names that are settled already."""
     pairs = cut(pairs.select("name", "earlier", "earlier_ord"))
-    state = cut(names.select("name", F.lit(None).cast("boolean").alias("leads")))
+    state = names.select("name", F.lit(None).cast("boolean").alias("leads"))
+    if decided is not None:
+        known = decided.select("name", (F.col("name") == F.col("canonical")).alias("leads"))
+        state = names.select("name").join(known, "name", "left")
+    state = cut(state)
     for _ in range(most_rounds):
         near = pairs.join(state.select(F.col("name").alias("earlier"), F.col("leads").alias("e")), "earlier").groupBy("name").agg(F.max(F.coalesce("e", F.lit(False))).alias("led"), F.max(F.col("e").isNull()).alias("open"))
         decided = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("led", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))
@@ -106,30 +110,49 @@ def leaders(names: DataFrame, pairs: DataFrame, most_rounds: int = 200) -> DataF
     return state.join(first, "name", "left").select("name", F.when(F.col("leads"), F.col("name")).otherwise(F.col("leader")).alias("canonical"))
 
 
+def _edit_similarity(a: str, b: str) -> float:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b)) if a or b else 1.0
+
+
+def asked_in_order(names: DataFrame, threshold: float, mode: str, ask: Callable[[str, list[str]], str | None], most: int = 20) -> list[tuple[str, str]]:
+    """(name, canonical) of the first names, as long as ``most`` leaders at most are known.
+
+    A name that no leader resembles is shown to the backend before it becomes one; an answer
+    that is no leader, and an error, count as none.  Names come to the driver one by one, each
+    at the price of a call at most, until there are more leaders than may be asked about.
+    """
+    alike = _edit_similarity if mode == "edit" else lambda a, b: float(indel_ratio(pd.Series([a]), pd.Series([b]))[0])
+    out: list[tuple[str, str]] = []
+    known: dict[str, str] = {}  # leader and its normal form, in order
+    for r in names.select("name", normalize_name("name").alias("norm")).orderBy(names["ord"]).toLocalIterator():
+        if len(known) > most:
+            break
+        found = next((k for k, norm in known.items() if alike(r.norm, norm) >= threshold - 1e-9), None)
+        if found is None and known and len(known) <= most:
+            try:
+                answer = ask(r.name, list(known))
+            except Exception:
+                answer = None
+            found = answer if answer in known else None
+        if found is None:
+            known[r.name] = r.norm
+        out.append((r.name, found or r.name))
+    return out
+
+
 def resolve_names(names: DataFrame, threshold: float = 0.85, mode: str = "edit", ask: Callable[[str, list[str]], str | None] | None = None) -> DataFrame:
-    """R2, and R4 where a backend is given: it may pick one of at most 20 known leaders for a name."""
-    out = leaders(names, similar_pairs(names, threshold, mode))
+    """R2; where a backend is given it is asked about the first names."""
+    pairs = similar_pairs(names, threshold, mode)
     if ask is None:
-        return out
-    known = [r.canonical for r in out.where("name = canonical").join(names, "name").orderBy("ord").limit(21).select("canonical").collect()]
-    if not 1 <= len(known) <= 20:
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            picked = []
-            for name, canonical in zip(pdf.name, pdf.canonical, strict=True):
-                earlier = known[: known.index(canonical)] if name == canonical and canonical in known else []
-                try:
-                    answer = ask(name, earlier) if earlier else None
-                except Exception:
-                    answer = None  # an error of the backend is no answer
-                picked.append(answer if answer in earlier else canonical)
-            yield pd.DataFrame({"name": pdf.name, "canonical": picked})
-
-    picked = cut(out.mapInPandas(run, "name string, canonical string"))
-    up = picked.select(F.col("name").alias("canonical"), F.col("canonical").alias("top"))
-    return picked.join(up, "canonical", "left").select("name", F.coalesce("top", "canonical").alias("canonical"))
+        return leaders(names, pairs)
+    first = names.sparkSession.createDataFrame(asked_in_order(names, threshold, mode, ask), "name string, canonical string")
+    rest = leaders(names, pairs, decided=first)
+    return rest.join(first.select("name", F.col("canonical").alias("given")), "name", "left").select("name", F.coalesce("given", "canonical").alias("canonical"))
 
 
 def rewrite(triples: DataFrame, names: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import urllib.parse
 import uuid
 
+import pyarrow.fs
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import SparkRuntimeException as SparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -24,15 +25,24 @@ def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parqu
         return spark.createDataFrame([], schema)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks stored as JSON, broken records left out."""
+def read_chunks(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Stored chunks: ``parquet`` as ``write_chunks`` makes them, or ``json`` documents
+    (``*_chunks.json``), broken ones left out."""
+    if fmt == "parquet":
+        return read_or_empty(spark, path, CHUNKS)
     raw = spark.read.schema(CHUNKS + ", _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", "true").option("pathGlobFilter", "*_chunks.json").json(path)
     return raw.where("_corrupt_record is null and id is not null").drop("_corrupt_record")
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """K1: by source."""
-    chunks.write.mode("overwrite").partitionBy("source").parquet(path)
+def write_chunks(chunks: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """K1: by source; as ``json`` one array a source, in files that ``read_chunks`` reads."""
+    if fmt == "parquet":
+        chunks.write.mode("overwrite").partitionBy("source").parquet(path)
+        return
+    fields = [c.strip().split(" ")[0] for c in CHUNKS.split(",")]
+    rows = chunks.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("index", "id", F.struct(*(f for f in fields if f in chunks.columns)).alias("c")))).alias("l"))
+    name = F.concat(F.regexp_replace("source", r"\.[^.]*$", ""), F.lit("_chunks.json"))
+    write_pages(rows.select(name.alias("filename"), F.to_json(F.transform("l", lambda x: x["c"])).alias("content")), path)
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
@@ -50,6 +60,19 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return read_or_empty(spark, path, SNAPSHOT)
 
 
+def write_snapshot(snapshot: DataFrame, path: str) -> None:
+    """The new snapshot is written beside the old one and then named; readers see one or the other."""
+    version = uuid.uuid4().hex
+    snapshot.select("path", "hash", "chunk_ids").write.parquet(f"{path.rstrip('/')}/{version}")
+    snapshot.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/current")
+
+
+def current_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """S13 of what ``write_snapshot`` named last; empty where there is none."""
+    found = [r.value for r in read_or_empty(spark, f"{path.rstrip('/')}/current", "value string", "text").collect()]
+    return read_snapshot(spark, f"{path.rstrip('/')}/{found[0]}") if found else spark.createDataFrame([], SNAPSHOT)
+
+
 def read_insights(spark: SparkSession, path: str) -> DataFrame:
     """Empty where there are none."""
     return read_or_empty(spark, path, "entity string, degree bigint, pagerank double, betweenness double", "json")
@@ -73,6 +96,13 @@ class GraphStore:
         self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
         return version
 
+    def export(self, nodes: DataFrame, edges: DataFrame) -> None:
+        """K6: the graph, and the three exchange formats beside it."""
+        self.save(nodes, edges)
+        write_lines(graphml(nodes, edges), f"{self.path}/graph.graphml")
+        write_lines(gexf(nodes, edges), f"{self.path}/graph.gexf")
+        write_json_graph(nodes, edges, f"{self.path}/graph.json")
+
     def load(self) -> tuple[DataFrame, DataFrame]:
         """An empty graph where nothing was saved."""
         current = [r.value for r in read_or_empty(self.spark, f"{self.path}/current", "value string", "text").collect()]
@@ -162,6 +192,17 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S11."""
+    data = "attvalues struct<attvalue:array<struct<_for:string,_value:string>>>"
+    value = lambda k: F.get(F.transform(F.filter("attvalues.attvalue", lambda d: d["_for"] == k), lambda d: d["_value"]), F.lit(0))
+    n = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, {data}").load(path)
+    e = spark.read.format("xml").option("rowTag", "edge").schema(f"_source string, _target string, {data}").load(path)
+    nodes = n.select(F.col("_id").alias("name"), parse_types(value("types")).alias("types"), F.monotonically_increasing_id().alias("node_ord"))
+    edges = e.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), value("relation").alias("relation"), value("confidence").cast("double").alias("confidence"), F.lit("").alias("source_text"), F.lit("").alias("source_chunk"), F.lit(False).alias("wiki_updated"))
+    return nodes, edges
+
+
 def read_json_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``{nodes: [...], edges: [...]}`` in one document."""
     schema = "nodes array<struct<id:string,types:array<string>>>, edges array<struct<source:string,target:string,relation:string,confidence:double,source_text:string,source_chunk:string>>"
@@ -172,28 +213,32 @@ def read_json_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 def load_any(spark: SparkSession, candidates: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The first of the named files (graphml or json) that can be read, else an empty graph."""
+    """The first of the named files (graphml, gexf or json) that is there and can be read,
+    else an empty graph."""
     for path in candidates:
+        reader = read_graphml if path.endswith(".graphml") else read_gexf if path.endswith(".gexf") else read_json_graph
         try:
-            found = read_graphml(spark, path) if path.endswith(".graphml") else read_json_graph(spark, path)
-            found[0].limit(1).count()
-            return found
-        except AnalysisException:
+            found = reader(spark, path)
+            if not found[0].isEmpty():
+                return found
+        except (AnalysisException, SparkException, Py4JJavaError):  # missing or broken
             continue
     return spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)
 
 
 def write_pages(pages: DataFrame, folder: str) -> None:
-    """One Markdown file a page, by the workers, into a folder that they all reach."""
-    local = urllib.parse.urlparse(folder).path if folder.startswith("file:") else folder
+    """One file a page, by the workers, into a folder that they all reach: a path of a
+    shared mount or the address of a store (file, hdfs, s3, gs).  A repeated task writes the
+    same files again."""
 
     def put(rows) -> None:
-        os.makedirs(local, exist_ok=True)
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder) if ":" in folder else (pyarrow.fs.LocalFileSystem(), folder)
+        fs.create_dir(root, recursive=True)
         for r in rows:
-            tmp = os.path.join(local, f".{r.filename}.tmp")
-            with open(tmp, "w", encoding="utf-8") as f:
-                f.write(r.content)
-            os.replace(tmp, os.path.join(local, r.filename))
+            tmp = f"{root}/.{r.filename}.{uuid.uuid4().hex}"
+            with fs.open_output_stream(tmp) as f:
+                f.write(r.content.encode())
+            fs.move(tmp, f"{root}/{r.filename}")
 
     pages.select("filename", "content").foreachPartition(put)
 
