@@ -34,7 +34,8 @@ def cleaned(triples: DataFrame) -> DataFrame:
 def fold_edges(triples: DataFrame) -> DataFrame:
     """A1: of each pair the triple of highest confidence, of equal ones the first.
 
-    ``max_by`` is a partial aggregate: a hot pair shrinks before the shuffle.
+    ``max_by`` of structs is planned as a sort aggregate: each task sorts its triples by pair,
+    so that a hot pair is one row a task in the one shuffle.
     """
     t = cleaned(triples)
     kept = ["relation", "confidence", "source_text", "source_chunk"]
@@ -45,8 +46,8 @@ def fold_edges(triples: DataFrame) -> DataFrame:
 def fold_nodes(triples: DataFrame) -> DataFrame:
     """A2: names with the sorted set of their types, in order of first appearance."""
     t = cleaned(triples)
-    side = lambda n, k: t.select(F.col(n).alias("name"), F.coalesce(f"{n}_type", F.lit("")).alias("type"), (F.col("triple_ord") * 2 + k).alias("o"))
-    both = side("subject", 0).unionByName(side("object", 1))
+    side = lambda n, k: F.struct(F.col(n).alias("name"), F.coalesce(f"{n}_type", F.lit("")).alias("type"), (F.col("triple_ord") * 2 + k).alias("o"))
+    both = t.select(F.inline(F.array(side("subject", 0), side("object", 1))))
     return both.groupBy("name").agg(F.array_sort(F.collect_set("type")).alias("types"), F.min("o").alias("node_ord"))
 
 
@@ -77,7 +78,8 @@ def find_by_type(nodes: DataFrame, kind: str) -> DataFrame:
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Name, in_degree, out_degree, degree; a loop counts twice in degree."""
-    ends = edges.select(F.col("src").alias("name"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("name"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    end = lambda c, o, i: F.struct(F.col(c).alias("name"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    ends = edges.select(F.inline(F.array(end("src", 1, 0), end("dst", 0, 1))))
     d = ends.groupBy("name").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return nodes.join(d, "name", "left").select("name", zero("in_degree"), zero("out_degree"), (F.coalesce("in_degree", F.lit(0)) + F.coalesce("out_degree", F.lit(0))).cast("long").alias("degree"))
@@ -110,11 +112,16 @@ def name_search(nodes: DataFrame, edges: DataFrame, q: str, most: int = 10) -> D
 
 
 def neighbours(edges: DataFrame, name: str | None = None) -> DataFrame:
-    """Entity, direction, relation, other, confidence, source_text; of all entities or one."""
-    out_ = edges if name is None else edges.where(F.col("src") == name)
-    in_ = edges if name is None else edges.where(F.col("dst") == name)
-    rest = ["confidence", "source_text", "source_chunk"]
-    return out_.select(F.col("src").alias("entity"), F.lit("outgoing").alias("direction"), "relation", F.col("dst").alias("other"), *rest).unionByName(in_.select(F.col("dst").alias("entity"), F.lit("incoming").alias("direction"), "relation", F.col("src").alias("other"), *rest))
+    """Entity, direction, relation, other, and the edge's other columns; of all entities or one.
+
+    One scan of the edges gives both directions.
+    """
+    if name is not None:
+        edges = edges.where((F.col("src") == name) | (F.col("dst") == name))
+    rest = [c for c in edges.columns if c not in ("src", "dst", "relation", "wiki_updated")]
+    side = lambda mine, direction, other: F.struct(F.col(mine).alias("entity"), F.lit(direction).alias("direction"), "relation", F.col(other).alias("other"), *rest)
+    near = edges.select(F.inline(F.array(side("src", "outgoing", "dst"), side("dst", "incoming", "src"))))
+    return near if name is None else near.where(F.col("entity") == name)
 
 
 def _sorted_relations(direction: str) -> Column:

@@ -42,16 +42,24 @@ def query_vectors(queries: DataFrame, table: DataFrame, key: str = "query_id") -
     return counts.join(table, "term").select("key", "term", (F.col("tf") / F.col("max_tf") * F.col("idf")).alias("weight"))
 
 
-def top_k(index: tuple[DataFrame, DataFrame], queries: DataFrame, order: DataFrame, k: int = 5, floor: float = 0.01) -> DataFrame:
+#: Terms of all query vectors that are broadcast (counted); beyond that the join shuffles.
+MOST_QUERY_TERMS = 500_000
+
+
+def top_k(index: tuple[DataFrame, DataFrame], queries: DataFrame, order: DataFrame, k: int = 5, floor: float = 0.01, most: int = MOST_QUERY_TERMS) -> DataFrame:
     """V4, T3, P12 for many queries (query_id, text): query_id, key, score, rank.
 
     ``order`` (key, idx) settles ties: the higher place goes first.  The floor applies after
-    the ranks.  Only pairs that share a term meet.
+    the ranks.  Only pairs that share a term meet.  While the query vectors are few they are
+    broadcast: weights stay where their chunk is, so that a frequent term is no hot key, a
+    chunk's products are summed in its task, and each task keeps the first ``k`` of a query.
     """
     weights, table = index
-    q = query_vectors(queries, table)
-    dots = q.select(F.col("key").alias("query_id"), "term", F.col("weight").alias("qw")).join(weights, "term").groupBy("query_id", "key").agg(F.sum(F.col("qw") * F.col("weight")).alias("dot"))
-    qn = norms(q).select(F.col("key").alias("query_id"), F.col("norm").alias("qn"))
+    q = query_vectors(queries, table).select(F.col("key").alias("query_id"), "term", F.col("weight").alias("qw"))
+    if q.limit(most + 1).count() <= most:
+        q = F.broadcast(q)
+    dots = weights.join(q, "term").groupBy("query_id", "key").agg(F.sum(F.col("qw") * F.col("weight")).alias("dot"))
+    qn = norms(q.select(F.col("query_id").alias("key"), F.col("qw").alias("weight"))).select(F.col("key").alias("query_id"), F.col("norm").alias("qn"))
     scored = dots.join(norms(weights), "key").join(qn, "query_id").join(order, "key").select("query_id", "key", "idx", (F.col("dot") / (F.col("norm") * F.col("qn"))).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.desc("idx"))
     return scored.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") > floor)).drop("idx")

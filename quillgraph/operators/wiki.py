@@ -47,26 +47,26 @@ def edge_sources(edges: DataFrame, chunks: DataFrame | None = None) -> DataFrame
 def entity_sources(edges: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """Entity, sources (sorted, distinct) over its edges both ways."""
     e = edge_sources(edges, chunks).where("source is not null and source <> ''")
-    both = e.select(F.col("src").alias("entity"), "source").unionByName(e.select(F.col("dst").alias("entity"), "source"))
+    both = e.select(F.explode(F.array("src", "dst")).alias("entity"), "source")
     return both.groupBy("entity").agg(F.array_sort(F.collect_set("source")).alias("sources"))
 
 
 def compile_pages(nodes: DataFrame, edges: DataFrame, chunks: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
     """Name, filename, type, main_source, content; junk names have no page.
 
-    One pass over the edges makes both relation lists.  ``summaries`` (name, summary) come
-    from a backend; a default sentence stands where there is none.
+    One pass over the edges, with one shuffle, makes both relation lists and the sources.
+    ``summaries`` (name, summary) come from a backend; a default sentence stands where there is
+    none.
     """
     def line(arrow: str) -> Column:
         text = F.concat(F.lit("- **"), F.coalesce("relation", F.lit("")), F.lit(f"** {arrow} [["), F.col("other"), F.lit(f"]] ({CONFIDENCE_LABEL}"), two_places(F.coalesce("confidence", F.lit(0.0))), F.lit(")"))
         snippet = F.concat(F.lit(f'\n  - *{SNIPPET_LABEL}"'), F.substring("source_text", 1, 80), F.lit('..."*'))
         return F.concat(text, F.when(F.coalesce("source_text", F.lit("")) != "", snippet).otherwise(""))
 
-    near = neighbours(edges).withColumn("line", F.when(F.col("direction") == "outgoing", line("→")).otherwise(line("←")))
+    near = neighbours(edge_sources(edges, chunks)).withColumn("line", F.when(F.col("direction") == "outgoing", line("→")).otherwise(line("←")))
     entry = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("k"), "other", "line")
-    lists = near.groupBy("entity").agg(*(F.array_sort(F.collect_list(F.when(F.col("direction") == d, entry))).alias(d) for d in ("outgoing", "incoming")))
+    lists = near.groupBy("entity").agg(*(F.array_sort(F.collect_list(F.when(F.col("direction") == d, entry))).alias(d) for d in ("outgoing", "incoming")), F.array_sort(F.collect_set(F.nullif("source", F.lit("")))).alias("sources"))
     rows = nodes.where(~is_junk("name")).select("name", "types").join(lists, F.col("name") == F.col("entity"), "left").drop("entity")
-    rows = rows.join(entity_sources(edges, chunks), F.col("name") == F.col("entity"), "left").drop("entity")
     if summaries is not None:
         rows = rows.join(summaries.select("name", F.col("summary").alias("_summary")), "name", "left")
     else:
@@ -111,7 +111,7 @@ def wiki_stats(pages: DataFrame) -> DataFrame:
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """P9."""
-    ends = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name")))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("name"))
     return nodes.join(ends, "name", "left_anti").select("name")
 
 
