@@ -26,7 +26,7 @@ class Api:
 
     def insights(self, k: int = 5) -> tuple[DataFrame, DataFrame]:
         """The first entities by rank, and all communities."""
-        return centrality.top_entities(centrality.centrality(self.nodes, self.edges), k), community.communities(self.nodes, self.edges)
+        return centrality.top_entities(centrality.centrality(self.nodes, self.edges, ordinals=True), k), community.communities(self.nodes, self.edges)
 
     def entities(self, q: str = "", kind: str = "", page: int = 1, per: int = 50) -> tuple[DataFrame, DataFrame]:
         return graph.entity_list(self.nodes, self.edges, q, kind, page, per)

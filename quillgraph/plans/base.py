@@ -68,7 +68,10 @@ GRAPH_SQL = f"{TRIPLES_SQL}, {fold_sql()}"
 PLACE_GRAPH_SQL = f"{PLACES_SQL}, {fold_sql('places')}"
 DEGREE_SQL = "ends AS (SELECT src AS name, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges), deg AS (SELECT n.name, coalesce(sum(i), 0)::BIGINT AS in_degree, coalesce(sum(o), 0)::BIGINT AS out_degree, coalesce(sum(i) + sum(o), 0)::BIGINT AS degree FROM nodes n LEFT JOIN ends e ON n.name = e.name GROUP BY n.name)"
 NEAR_SQL = "near AS (SELECT src AS entity, 'outgoing' AS direction, relation, dst AS other, confidence, source_chunk FROM edges UNION ALL SELECT dst, 'incoming', relation, src, confidence, source_chunk FROM edges)"
-CHAIN_SQL = f"""{PLACES_SQL}, chain AS (
-  SELECT DISTINCT 'customer:' || o_custkey AS src, 'part:' || l_partkey AS dst, 'ORDERED' AS relation FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49
-  UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'SUPPLIED_BY' FROM lineitem WHERE l_quantity >= 49
+
+
+def chain_sql(which: str = "true") -> str:
+    return f"""{PLACES_SQL}, chain AS (
+  SELECT DISTINCT 'customer:' || o_custkey AS src, 'part:' || l_partkey AS dst, 'ORDERED' AS relation FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {which}
+  UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'SUPPLIED_BY' FROM lineitem WHERE {which}
   UNION ALL SELECT subject, object, relation FROM places)"""
