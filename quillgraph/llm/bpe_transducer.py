@@ -7,13 +7,16 @@ token of each prefix follows from the last tokens of shorter prefixes.  A state
 the bytes read since the last certain token boundary and the last token at those
 positions in it where a longer token may still begin; as soon as all such positions
 agree on the tokens before them, these are emitted.  The lookahead is thus bounded by
-the length of the longest token.  States and transitions are made when first met.
+the length of the longest token.  States and transitions are made lazily: when first asked
+for, the rest of the piece is encoded by the same rule without a state; asked for again, the
+transition is made and kept.
 
 Decoding.  Ids become bytes, and an incremental UTF-8 state machine turns chunks of
 bytes into text, holding back the bytes of an unfinished character.
 
 Defined cases: null and empty texts give no ids and the digests of no bytes; rows with
-equal or null ids are encoded one by one; other columns are ignored.
+equal or null ids are encoded one by one; an empty table gives no rows; very long texts are
+decoded in chunks of ``CHUNK`` ids; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,9 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _STRETCH = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
-#: States that a transducer holds; memory and time go opposite ways.
+_BYTES = [bytes((k,)) for k in range(256)]
+
+#: States that a transducer holds, and measure of the memos; memory and time go opposite ways.
 MOST_STATES = 400_000
 
 
@@ -67,35 +74,53 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
 class Transducer:
     """States are numbers; ``step`` reads a byte and ``finish`` emits what is pending.
 
-    A state is (bytes read since the last certain boundary, last token at each position
-    or None).  ``most_states`` bounds all memos; they start anew when full.
+    A state is (bytes read since the last certain boundary, last token at each position or
+    None, positions where a longer token may begin).  States and transitions are held in two
+    generations of ``most_states / 2`` states: when the young one is full it becomes the old
+    one, and what is met again moves back with its number, so frequent states stay.
     """
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
         self.ranks, self.most_states = ranks, most_states
         self.token = {i: b for b, i in ranks.items()}
+        self.size = {i: len(b) for b, i in ranks.items()}
         self._made: dict[bytes, tuple] = {}
         self._fits: dict[int, bool] = {}
-        self._grows: dict[tuple[int | None, bytes], bool] = {}
+        self._grows: dict[tuple[int, bytes], bool] = {}
         self.longer: dict[bytes, list[int]] = {}  # proper prefixes of the tokens that merges make
         for t, i in ranks.items():
             if self.made(t)[0]:
                 for k in range(1, len(t)):
                     self.longer.setdefault(t[:k], []).append(i)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.states: list[tuple] = []
+        self.ids = {t: i for t, i in ranks.items() if self.made(t)[0]}
+        #: Of tokens whose merges come in order of rank: rank of the last merge (-1: none), and its two parts.
+        self.level = {t: self.ranks[t] if len(t) > 1 else -1 for t in self.ids if self.made(t)[2]}
+        self.parts = {t: self.made(t)[1] for t in self.level}
+        self.asked: set[int] = set()  # transitions that were asked for once
+        self._shorter: dict[int, int | None] = {}
+        self._count = 0
+        self._old: tuple[dict, dict, dict] = ({}, {}, {})
+        self._begin()
+
+    def _begin(self) -> None:
+        self.states: dict[int, tuple] = {}
         self.number: dict[tuple, int] = {}
-        self.next: dict[int, int] = {}
-        self.out: dict[int, tuple[int, ...]] = {}  # of the transitions that emit
-        self._state((b"", (None,)))
+        self.next: dict[int, int | tuple] = {}  # a state; with what is emitted, if anything is
+        self.start = self._state((b"", (None,), ()))
+
+    def _turn(self) -> None:
+        """The young generation becomes the old one."""
+        self._old = (self.states, self.number, self.next)
+        self._begin()
 
     def _state(self, state: tuple) -> int:
         n = self.number.get(state)
         if n is None:
-            n = self.number[state] = len(self.states)
-            self.states.append(state)
+            n = self._old[1].get(state)
+            if n is None:
+                n, self._count = self._count, self._count + 1
+            self.number[state] = n
+            self.states[n] = state
         return n
 
     def made(self, t: bytes) -> tuple:
@@ -123,29 +148,27 @@ class Transducer:
             if len(self._fits) > 5 * self.most_states // 2:
                 self._fits.clear()
             x, y = self.token[a], self.token[b]
-            if self.made(x)[2] and self.made(y)[2]:
-                v = self._apart(x, y)
-            else:
-                v = merge(self.ranks, x + y) == [a, b]
-            self._fits[key] = v
+            v = self._fits[key] = self._apart(x, y) if x in self.level and y in self.level else merge(self.ranks, x + y) == [a, b]
         return v
 
     def _apart(self, x: bytes, y: bytes) -> bool:
         """Undo the merges at the border, latest first: could one across it have come before?"""
-        ranks, before = self.ranks, None
+        rank, level, parts, before = self.ranks.get, self.level, self.parts, 1 << 62
+        of_x, of_y = level[x], level[y]
         while True:
-            r = ranks.get(x + y)
-            if r is not None and (before is None or r < before):
+            r = rank(x + y)
+            if r is not None and r < before:
                 return False
-            of_x, of_y = (ranks[x] if len(x) > 1 else -1), (ranks[y] if len(y) > 1 else -1)
-            if of_x < 0 and of_y < 0:
-                return True
             if of_x > of_y:
-                before, x = of_x, self.made(x)[1][1]
+                before, x = of_x, parts[x][1]
+                of_x = level[x]
+            elif of_y < 0:
+                return True
             else:
-                before, y = of_y + 1, self.made(y)[1][0]
+                before, y = of_y + 1, parts[y][0]
+                of_y = level[y]
 
-    def grows(self, before: int | None, t: bytes, many: int = 60) -> bool:
+    def grows(self, before: int | None, t: bytes, many: int = 20) -> bool:
         """May a longer token begin with these bytes, after the token before them?"""
         found = self.longer.get(t)
         if found is None:
@@ -156,81 +179,164 @@ class Transducer:
         if v is None:
             if len(self._grows) > 5 * self.most_states // 4:
                 self._grows.clear()
-            v = self._grows[before, t] = any(self.fits(before, i) for i in found)
+            v, fits = False, self.fits
+            for i in found:
+                if fits(before, i):
+                    v = True
+                    break
+            self._grows[before, t] = v
         return v
 
-    def _ways(self, last: tuple) -> list[int]:
-        """Bit sets of the boundaries on the way to each position."""
-        ways, token = [1], self.token
-        for p, t in enumerate(last):
-            if p:
-                ways.append(0 if t is None else ways[p - len(token[t])] | 1 << p)
-        return ways
+    def _way(self, last: tuple, p: int) -> int:
+        """Bit set of the boundaries on the way to a position."""
+        size, way = self.size, 1
+        while p:
+            way |= 1 << p
+            p -= size[last[p]]
+        return way
 
     def _make(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        held, last = self.states[at]
-        ways = self._ways(last)
-        held += bytes((byte,))
-        n, ranks, live = len(held), self.ranks, []
-        token = None
-        for p in range(n):
-            before = last[p]
-            if p and before is None:
-                continue
-            t = held[p:]
-            if self.grows(before, t):
+        held, last, begins = self.states[at]
+        held += _BYTES[byte]
+        n, ids, longer, fits, live, token = len(held), self.ids, self.longer, self._fits, [], None
+        for p in (*begins, n - 1):
+            before, t = last[p], held[p:]
+            if t in longer and self.grows(before, t):
                 live.append(p)
             if token is None:
-                i = ranks.get(t)
-                if i is not None and self.made(t)[0] and (before is None or self.fits(before, i)):
-                    token, way = i, ways[p] | 1 << n
+                i = ids.get(t)
+                if i is not None:
+                    ok = before is None or fits.get(before << 32 | i)
+                    if self.fits(before, i) if ok is None else ok:
+                        token, way = i, self._way(last, p) | 1 << n
         if token is None:
             raise ValueError("the ranks do not hold every single byte")
         common = kept = way
         for p in live:
-            common &= ways[p]
-            kept |= ways[p]
+            w = self._way(last, p)
+            common &= w
+            kept |= w
         cut = common.bit_length() - 1
         last = (*last, token)
-        out, p = [], cut
-        while p:
-            out.append(last[p])
-            p -= len(self.token[last[p]])
-        return self._state((held[cut:], tuple([last[p] if kept >> p & 1 else None for p in range(cut, n + 1)]))), tuple(out[::-1])
-
-    def step(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state, and what is certain by now."""
+        out = self._back(last, cut)
+        if cut:
+            held, last, kept = held[cut:], last[cut:], kept >> cut
+            live = [p - cut for p in live]
+        # the last token before the cut matters at the first position only
+        n = kept.bit_length()
+        last = tuple([t if kept >> p & 1 else None for p, t in enumerate(last)]) if kept + 1 != 1 << n else last
+        return self._state((held, last, tuple(live))), tuple(out)
+
+    def step(self, at: int, byte: int) -> int | tuple[int, tuple[int, ...]] | None:
+        """The next state; if something is certain by now, also that.  None when first asked."""
         key = at << 8 | byte
         to = self.next.get(key)
         if to is None:
-            to, out = self._make(at, byte)
+            to = self._old[2].get(key)
+            if to is None:
+                if key not in self.asked:
+                    if len(self.asked) > self.most_states:
+                        self.asked.clear()
+                    self.asked.add(key)
+                    return None
+                to, out = self._make(at, byte)
+                if out:
+                    to = (to, out)
+            else:
+                n = to if to.__class__ is int else to[0]
+                state = self.states[n] = self._old[0][n]
+                self.number[state] = n
             self.next[key] = to
-            if out:
-                self.out[key] = out
-        return to, self.out.get(key, ())
+        return to
+
+    def _longest(self, data: bytes, at: int) -> int:
+        """The longest token that begins at a place."""
+        ids, longer, end = self.ids.get, self.longer, at + 1
+        t = data[at:end]
+        found = ids(t)
+        if found is None:
+            raise ValueError("the ranks do not hold every single byte")
+        while t in longer and end < len(data):
+            end += 1
+            t = data[at:end]
+            i = ids(t)
+            if i is not None:
+                found = i
+        return found
+
+    def _next_shorter(self, i: int) -> int | None:
+        """The longest token that is a proper prefix of a token."""
+        v = self._shorter.get(i, -1)
+        if v == -1:
+            t = self.token[i]
+            v = self._shorter[i] = next((x for k in range(len(t) - 1, 0, -1) if (x := self.ids.get(t[:k])) is not None), None)
+        return v
+
+    def rest(self, at: int, tail: bytes) -> list[int]:
+        """The tokens of what a state holds and of the bytes after it, without new states.
+
+        Longest tokens first, shorter ones where neighbours do not fit, and back where none does.
+        Neighbours that all fit are the encoding, and a prefix has one encoding only, so a place
+        from which there was no way on is never tried again.
+        """
+        held, last, _ = self.states[at]
+        data, first, dead = held + tail, last[0], set()
+        size, known, fits = self.size, self._fits.get, self.fits
+        out: list[int] = []
+        p, n = 0, len(data)
+        if not n:
+            return out
+        token = self._longest(data, 0)
+        while True:
+            before = out[-1] if out else first
+            end = p + size[token]
+            if end not in dead:
+                ok = before is None or known(before << 32 | token)
+                if fits(before, token) if ok is None else ok:
+                    out.append(token)
+                    if end == n:
+                        return out
+                    p, token = end, self._longest(data, end)
+                    continue
+            token = self._next_shorter(token)
+            while token is None:
+                dead.add(p)
+                if not out:
+                    raise ValueError("the ranks do not hold every single byte")
+                back = out.pop()
+                p -= size[back]
+                token = self._next_shorter(back)
+
+    def _back(self, last: list | tuple, p: int) -> list[int]:
+        out, size = [], self.size
+        while p:
+            out.append(last[p])
+            p -= size[last[p]]
+        return out[::-1]
 
     def finish(self, at: int) -> list[int]:
         """The tokens that are pending when a piece ends."""
-        held, last = self.states[at]
-        p, back = len(held), []
-        while p:
-            back.append(last[p])
-            p -= len(self.token[last[p]])
-        return back[::-1]
+        held, last, _ = self.states[at]
+        return self._back(last, len(held))
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.most_states:
-            self._reset()
-        at, ids, step, emits = 0, [], self.next.get, self.out
-        for byte in piece:
-            key = at << 8 | byte
-            at_next = step(key)
-            at = self.step(at, byte)[0] if at_next is None else at_next
-            if key in emits:
-                ids += emits[key]
+        if len(self.states) > self.most_states // 2:
+            self._turn()
+        at, ids, known = self.start, [], self.next.get
+        for k, byte in enumerate(piece):
+            to = known(at << 8 | byte)
+            if to is None:
+                to = self.step(at, byte)
+                if to is None:
+                    return ids + self.rest(at, piece[k:])
+            if to.__class__ is int:
+                at = to
+            else:
+                at, out = to
+                ids += out
         ids += self.finish(at)
         return ids
 
@@ -263,31 +369,41 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
-    """Texts to ids and back, with memos of pieces and of stretches between white space."""
+    """Texts to ids and back, with bounded memos of pieces and of stretches between white space."""
 
+    #: Ids that are decoded at a time.
     CHUNK = 65_536
 
     def __init__(self, path: str, pattern: str, most_states: int = MOST_STATES):
         self.ranks = load_ranks(path)
         self.transducer = Transducer(self.ranks, most_states)
-        most = 3 * most_states // 4
         self.pieces = regex.compile(pattern)
         self.of_id: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for t, i in self.ranks.items():
             self.of_id[i] = t
-        self._piece = Memo(lambda p: np.array(self.transducer.encode(p.encode()), "<u4").tobytes(), most=most)
-        self._stretch = Memo(lambda s: b"".join(map(self._piece.__getitem__, self.pieces.findall(s))), most=most)
+        self._stretch = Memo(self._encode, most=3 * most_states)
+        self._piece = Memo(lambda p: little(self.transducer.encode(p.encode())), most=2 * most_states)
+
+    def _encode(self, stretch: str) -> bytes:
+        pieces = self.pieces.findall(stretch)
+        return self._piece[pieces[0]] if len(pieces) == 1 else b"".join(map(self._piece.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self._stretch.__getitem__, _STRETCH.findall(text)))
 
-    def decode(self, ids: bytes):
-        """Chunks of decoded bytes."""
-        many = np.frombuffer(ids, "<u4")
+    def decode(self, ids: bytes) -> Iterator[str]:
+        """The text in chunks, by the incremental UTF-8 state machine."""
+        many, stream = np.frombuffer(ids, "<u4"), Utf8Stream()
         for k in range(0, len(many), self.CHUNK):
-            yield b"".join(map(self.of_id.__getitem__, many[k : k + self.CHUNK].tolist()))
+            yield stream.feed(b"".join(map(self.of_id.__getitem__, many[k : k + self.CHUNK].tolist())))
+        yield stream.close()
 
 
 _CODECS: dict[tuple[str, str, int], Codec] = {}
@@ -309,16 +425,15 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, most_states: int = M
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, a, b, chars = [], [], [], []
-            for text in texts(batch):
-                ids = c.encode(text)
-                sha, stream, k = hashlib.sha256(), Utf8Stream(), 0
-                for data in c.decode(ids):
-                    sha.update(data)
-                    k += len(stream.feed(data))
+            for ids in map(c.encode, texts(batch)):
+                sha, k = hashlib.sha256(), 0
+                for part in c.decode(ids):
+                    sha.update(part.encode())
+                    k += len(part)
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(sha.hexdigest())
-                chars.append(k + len(stream.close()))
+                chars.append(k)
             return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(chars, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
 
         return run
