@@ -9,8 +9,9 @@ without the others.
 
     magic | blocks of planes | documents (zstd) | index (zstd) | 4 numbers | magic
 
-Documents go to shards in ascending doc_id (nulls first; rows of equal doc_id by text);
-range partitioning by doc_id makes shards of consecutive partitions consecutive.  A shard
+Documents go to shards in ascending doc_id (nulls first; rows of equal or null doc_id by the
+hash of their text, so that many of them are dealt out, too); range partitioning by these
+makes shards of consecutive partitions consecutive.  A shard
 is closed at ``SHARD_IDS`` ids, so memory does not grow with the input.  A repeated task
 writes a file of another name; only files that the index table names are read.
 
@@ -20,6 +21,7 @@ and gives no rows; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -27,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Memo, new_path, open_shared, saved, small_batches, texts
+from quillgraph.llm.common import Memo, new_path, open_shared, saved, small_batches
 
 MAGIC = b"QPLANES1"
 BLOCK_IDS = 65_536
@@ -138,20 +141,25 @@ class ShardReader:
         return ids
 
     def documents(self) -> Iterator[tuple[int | None, bytes]]:
-        held, k = b"", 0
-        for doc, n in zip(self.docs, self.lengths, strict=True):
-            parts, have = [held], len(held)
-            while have < 4 * n:
-                parts.append(self.block(k).tobytes())
-                have += len(parts[-1])
-                k += 1
-            data = b"".join(parts) if len(parts) > 1 else held
-            yield doc, data[: 4 * n]
-            held = data[4 * n :]
-
-
-#: What the file's pre-tokeniser takes apart, for words that the fast way may treat.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        held, at, k = b"", 0, 0
+        for doc, n in zip(self.docs, self.lengths.tolist(), strict=True):
+            if len(held) - at < 4 * n:
+                parts, have = [held[at:]], len(held) - at
+                while have < 4 * n:
+                    parts.append(self.block(k).tobytes())
+                    have += len(parts[-1])
+                    k += 1
+                held, at = b"".join(parts), 0
+            yield doc, held[at : at + 4 * n]
+            at += 4 * n
+
+
+#: The normaliser and pre-tokeniser for which the fast way below is right.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = [{"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+#: What the pre-tokeniser takes apart, for words that the fast way may treat.
+_PIECES = regex.compile(_PATTERN)
 #: White space inside a word, special tokens, letters that change under normalisation.
 _SLOW = regex.compile("[\x1c-\x1f\x85\xa0\u0130\u0300-\U0010ffff]|<\\|")
 
@@ -166,6 +174,10 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+def _little(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
     """Ids of whole texts by the library, which sees each piece of a word once.
 
@@ -173,7 +185,8 @@ class WordEncoder:
     of a text are those of its words; and the pre-tokeniser cuts a word into pieces that are
     encoded one by one, so the ids of a word are those of its pieces.  Pieces are given to
     the library's model; words in which the normaliser does more than lower case go to the
-    whole tokeniser.
+    whole tokeniser.  All this is read from the file: if its normaliser, pre-tokeniser or added
+    tokens are of another kind, whole texts go to the whole tokeniser.
     """
 
     def __init__(self, path: str):
@@ -181,24 +194,58 @@ class WordEncoder:
 
         self.t = Tokenizer.from_file(path)
         self.model = self.t.model
-        self.pieces = Memo(self._piece, most=1_000_000)
-        self.words = Memo(self._word, most=400_000)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.fast = (
+            (spec.get("normalizer") or {}).get("normalizers") == _NORMALISER
+            and (spec.get("pre_tokenizer") or {}).get("pretokenizers") == _SPLIT
+            and spec["model"]["type"] == "BPE"
+            and not spec.get("truncation")
+            and all("<|" in a["content"] and not a["single_word"] and not a["lstrip"] and not a["rstrip"] for a in spec.get("added_tokens") or [])
+        )
+        self.pieces = Memo(self._piece, most=1_200_000)
+        self.words = Memo(self._word, most=800_000)
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _little(self.t.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(_LETTERS)
-        return np.array([k.id for k in self.model.tokenize(letters)], "<u4").tobytes()
+        letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_LETTERS)
+        return _little([k.id for k in self.model.tokenize(letters)])
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # of bytes: letters of ASCII alone, one piece
+            return self.pieces[word.decode().lower()]
         w = word.decode()
-        if _SLOW.search(w):
+        if (not word.isascii() or b"<|" in word or not w.isprintable()) and _SLOW.search(w):
             return self._library(w)
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(w.lower())))
 
     def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.encode().split()))
+        return next(self.encode(pa.array([text], pa.string())))
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a column (null: empty).
+
+        Arrow splits the texts and numbers their words, so that each word of the column is
+        looked up once; numpy puts the ids in their places.
+        """
+        texts = texts.fill_null("")
+        if not self.fast:
+            yield from map(self._library, texts.to_pylist())
+            return
+        # an empty word may stand at either end of a text; it has no ids
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        found = list(map(self.words.__getitem__, words.dictionary.cast(pa.binary()).to_pylist()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, first, which = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        n = sizes[which]
+        ends = np.append(0, np.cumsum(n))
+        ids = ids[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield ids[a:b].tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -207,7 +254,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, bits: bool = False, ids_per_shard: int = SHARD_IDS, partitions: int | None = None) -> DataFrame:
     """Encode, write shards, and return their table: path, place (partition, number), documents, ids."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1024)
     out = new_path(spark, "shards")
     end = np.array([end_id], "<u4").tobytes()
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -225,21 +272,21 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, bits: bool = Fals
             return pa.record_batch([[path], [part], [number], [len(w.docs)], [total]], schema=pa.schema([("path", pa.string()), ("part", pa.int32()), ("number", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1)), strict=True):
                 if w is None:
                     name = f"{part:06d}-{number:04d}-{uuid.uuid4().hex}.planes"
                     path, sink, total = f"{out}/{name}", fs.open_output_stream(f"{root}/{name}"), 0
                     w = ShardWriter(sink, bits)
-                ids = encode(text) + end
-                w.add(doc, ids)
-                total += len(ids) // 4
+                w.add(doc, ids + end)
+                total += len(ids) // 4 + 1
                 if total >= ids_per_shard:
                     yield close()
                     w, number = None, number + 1
         if w is not None:
             yield close()
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     return saved(dealt.mapInArrow(run, "path string, part int, number int, n_docs long, n_ids long"), "shard-index")
 
 

@@ -37,6 +37,19 @@ def test_words_are_the_text():
         assert np.frombuffer(e(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_other_files_are_not_taken_for_this_one(tmp_path):
+    import json
+
+    spec = json.load(open(PATH))
+    assert WordEncoder(PATH).fast
+    spec["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFD"}, {"type": "Lowercase"}]}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    t, e = Tokenizer.from_file(str(tmp_path / "other.json")), WordEncoder(str(tmp_path / "other.json"))
+    assert not e.fast
+    for text in ("Ça  va", "naïve\tword", ""):
+        assert np.frombuffer(e(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_query(spark):
     t = Tokenizer.from_file(PATH)
     rows = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0))
