@@ -22,7 +22,7 @@ from quillgraph.plans.base import DEGREE_SQL, GRAPH_SQL, NEAR_SQL, PLACE_GRAPH_S
 from quillgraph.plans.queries import _COUNTS_SQL, _EDITS_SQL, _PAGES_SQL, _PAIRS_SQL, _SNAP_SQL, _TOKENS_SQL, _WORDS_SQL, _all, _edited, _file, _file_sql, _graph, _kept_graph, _part_names, _places, _snapshots, _topk_sql, query
 from quillgraph.plans.search import hybrid
 from quillgraph.schemas import Settings
-from quillgraph.sources import files, store
+from quillgraph.sources import files, remote, store
 
 
 def _folder(spark, tag: str) -> str:
@@ -257,6 +257,25 @@ def page_of_entity(spark, d):
     return wiki.page_of(_land_pages(spark, d), "nation:NATION_3").select("filename", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
+@query(f"WITH {GRAPH_SQL}, {NEAR_SQL} SELECT entity, count(DISTINCT s) AS n_sources, min(s) AS main_source FROM (SELECT entity, CASE WHEN source_chunk LIKE 'order%' THEN 'file' || (split_part(source_chunk, '_', 2)::BIGINT % 10) ELSE regexp_extract(source_chunk, '^(.*)_row_', 1) END AS s FROM near) GROUP BY entity")
+def chunk_table_sources(spark, d):
+    """Sources by the chunk table, by the chunk's name where it has none."""
+    li = table(spark, d, "lineitem")
+    chunks = li.select(F.concat(F.lit("order_"), "l_orderkey", F.lit("_chunk_"), "l_linenumber").alias("id"), F.concat(F.lit("file"), (F.col("l_orderkey") % 10).cast("string")).alias("source"))
+    return wiki.entity_sources(_graph(spark, d)[1], chunks).select("entity", F.size("sources").cast("long").alias("n_sources"), F.get("sources", F.lit(0)).alias("main_source"))
+
+
+@query("""WITH l AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN trim(coalesce(text, ''), ' ') WHEN 1 THEN '## ' || trim(coalesce(text, ''), ' ') WHEN 2 THEN '- ' || trim(coalesce(text, ''), ' ') WHEN 3 THEN '![image](img_' || role || '.bin)' WHEN 4 THEN '[table]' END AS line FROM conversations)
+SELECT conv_id, md5(coalesce(string_agg(line, chr(10) ORDER BY turn, line) FILTER (line <> ''), '')) AS digest FROM l GROUP BY conv_id""")
+def blocks_markdown(spark, d):
+    """A conversation's turns as blocks of all kinds."""
+    kinds = F.array(*map(F.lit, (1, 3, 10, 7, 4, 99)))
+    kind = F.get(kinds, (F.col("turn") % 6).cast("int"))
+    block = F.struct("turn", F.struct(kind.alias("block_type"), "text", F.lit(2).alias("style"), F.col("role").alias("image")).alias("b"))
+    by = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(block)).alias("l"))
+    return by.select("conv_id", F.md5(remote.blocks_to_markdown(F.transform("l", lambda x: x["b"])).cast("binary")).alias("digest"))
+
+
 # --- extraction and retrieval
 
 
