@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -45,24 +46,46 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``saved`` wrote, once nothing will read it again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def release() -> None:
+    """Give back what a task held: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` whose function is made once a task; empty batches are skipped."""
     small_batches(df.sparkSession, rows)
+    names = df.columns
+    if any("`" in c for c in names):  # Spark's method cannot name these
+        plain: list[str] = []
+        for c in names:
+            plain.append(free(c.replace("`", "_"), [*names, *plain]) if "`" in c else c)
+        df = df.toDF(*plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
             if batch.num_rows:
-                yield f(batch)
-        # workers are used again by later stages: what this task held goes back
-        pa.default_memory_pool().release_unused()
+                yield f(batch.rename_columns(names))
+        del f
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -2,35 +2,85 @@
 
 The features of a text are means over its words: of the hashed word, of the hashed pair of
 neighbouring words, and of the hashed character n-grams of the word (its own mean).  The
-score of a text is then a mean over words, so that the character part of a word is worked
-out once and kept in a bounded memo.
+score of a text is then a mean over words.
+
+Texts are worked on by the column: Arrow splits them and numbers their words (``Words``), so
+that what belongs to a word, as its hash and the score of its n-grams, is worked out once a
+column and by numpy, and what belongs to a text is a sum over a stretch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-from quillgraph.llm.common import Memo
-
 #: Hash slots of each of the three kinds.
 SLOTS = 1 << 14
 SIZE = 3 * SLOTS
 GRAMS = (2, 3, 4)
 _PAIR = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
-def grams(word: bytes) -> tuple[int, Iterator[str]]:
-    """Number of the character n-grams of a whole word with marked ends, and themselves one by one."""
-    w = f"\x02{word.decode('utf-8', 'replace')}\x03"
-    k = len(w)
-    return sum(max(0, k - n + 1) for n in GRAMS), (w[i : i + n] for n in GRAMS for i in range(k - n + 1))
-
-
-def gram_slot(gram: str) -> int:
-    return xxhash.xxh32_intdigest(gram.encode()) % SLOTS
+#: Multipliers of the characters of an n-gram, the first ones of each.
+_GRAM = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
+
+
+class Words:
+    """The words of a column of texts: ``words`` (different ones), ``which`` (their numbers, in
+    order) and ``offsets`` (where each text begins in ``which``)."""
+
+    def __init__(self, texts: pa.Array):
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        self.words: list[bytes] = coded.dictionary.cast(pa.binary()).to_pylist()
+        which, offsets = coded.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy() - split.offsets[0].as_py()
+        if b"" in self.words:  # at the ends of texts
+            real = which != self.words.index(b"")
+            which, offsets = which[real], np.append(0, np.cumsum(real))[offsets]
+        self.which, self.offsets = which, offsets
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+        self.sizes = np.diff(offsets)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """By text: the sum of a value of each of its words, in their order."""
+        out = np.zeros(len(self.sizes), values.dtype)
+        there = self.sizes > 0
+        if there.any():
+            out[there] = np.add.reduceat(values, self.offsets[:-1][there])
+        return out
+
+    def texts(self, of_words: np.ndarray):
+        """One array a text: a value of each word."""
+        values, at = of_words[self.which], self.offsets.tolist()
+        return (values[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+
+
+def gram_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of the character n-grams of whole words with marked ends: (slots, the place of each
+    word's first, numbers of each word's)."""
+    marked = [f"\x02{w.decode('utf-8', 'replace')}\x03" for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    # places left in the word, its end mark included, from each character on
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(code))
+    total = sum(np.maximum(0, size - n + 1) for n in GRAMS)
+    first = np.cumsum(total) - total
+    out = np.zeros(int(total.sum()), np.int64)
+    before = np.zeros(len(words), np.int64)
+    of_word = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    for n in GRAMS:
+        if len(code) < n:
+            continue
+        h = np.full(len(code) - n + 1, n, np.uint64)
+        for k in range(n):
+            h += code[k : len(code) - n + 1 + k] * np.uint64(_GRAM[k])
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        at = np.flatnonzero(left[: len(h)] >= n)
+        out[first[of_word[at]] + before[of_word[at]] + place[at]] = (h[at] >> np.uint64(40)).astype(np.int64) % SLOTS
+        before += np.maximum(0, size - n + 1)
+    return out, first, total
 
 
 def pair_slots(h: np.ndarray) -> np.ndarray:
@@ -41,56 +91,43 @@ def word_slots(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(20)).astype(np.int64) % SLOTS
 
 
-class Features:
-    """Sparse features for training."""
-
-    def __init__(self) -> None:
-        self.hashes = Memo(xxhash.xxh64_intdigest, most=200_000)
-        slot = Memo(gram_slot, most=300_000)
-        self.chars = Memo(lambda word: np.fromiter(map(slot.__getitem__, grams(word)[1]), np.int64), most=50_000)
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if not words:
-            return np.zeros(0, np.int32), np.zeros(0, np.float32)
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        x = np.zeros(SIZE)
-        x[:SLOTS] += np.bincount(word_slots(h), minlength=SLOTS) / len(words)
-        if len(words) > 1:
-            x[SLOTS : 2 * SLOTS] += np.bincount(pair_slots(h), minlength=SLOTS) / len(words)
-        found = [self.chars[w] for w in words]
-        slots = np.concatenate(found)
-        share = np.repeat([1 / len(f) for f in found], [len(f) for f in found])
-        x[2 * SLOTS :] += np.bincount(slots, share, minlength=SLOTS) / len(words)
+def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sparse features of each text, for training."""
+    w, out = Words(texts), []
+    slots, first, total = gram_slots(w.words)
+    for numbers in w.texts(np.arange(len(w.words))):
+        n = len(numbers)
+        if not n:
+            out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
+            continue
+        h, x = w.hashes[numbers], np.zeros(SIZE)
+        x[:SLOTS] = np.bincount(word_slots(h), minlength=SLOTS) / n
+        if n > 1:
+            x[SLOTS : 2 * SLOTS] = np.bincount(pair_slots(h), minlength=SLOTS) / n
+        mine, times = np.unique(numbers, return_counts=True)
+        size = total[mine]
+        at = np.repeat(first[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        x[2 * SLOTS :] = np.bincount(slots[at], np.repeat(times / size, size), minlength=SLOTS) / n
         at = np.flatnonzero(x)
-        return at.astype(np.int32), x[at].astype(np.float32)
+        out.append((at.astype(np.int32), x[at].astype(np.float32)))
+    return out
 
 
 class Scorer:
-    """The linear score of a text, by word."""
+    """The linear score of each text of a column."""
 
     def __init__(self, weights: np.ndarray, bias: float):
-        self.w = weights.astype(np.float64)
-        self.bias = bias
-        chars = self.w[2 * SLOTS :]
-        self.hashes = Memo(xxhash.xxh64_intdigest, most=600_000)
-        gram = Memo(lambda g: float(chars[gram_slot(g)]), most=300_000)
-
-        def mean(word: bytes) -> float:
-            n, found = grams(word)
-            return sum(map(gram.__getitem__, found)) / n
-
-        self.chars = Memo(mean, most=800_000)
-
-    def __call__(self, words: list[bytes], h: np.ndarray | None = None) -> float:
-        n = len(words)
-        if not n:
-            return self.bias
-        if h is None:
-            h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n)
-        total = self.w[word_slots(h)].sum() + np.fromiter(map(self.chars.__getitem__, words), np.float64, n).sum()
-        if n > 1:
-            total += self.w[SLOTS + pair_slots(h)].sum()
-        return self.bias + total / n
+        self.w, self.bias = weights.astype(np.float64), bias
+
+    def __call__(self, w: Words) -> np.ndarray:
+        if not len(w.which):
+            return np.full(len(w.sizes), self.bias)
+        slots, first, total = gram_slots(w.words)
+        chars = np.add.reduceat(self.w[2 * SLOTS + slots], first) / total
+        value = (self.w[word_slots(w.hashes)] + chars)[w.which]
+        pair = np.append(self.w[SLOTS + pair_slots(w.hashes[w.which])], 0.0)
+        pair[w.offsets[1:][w.sizes > 0] - 1] = 0.0  # the last word of a text has no neighbour
+        return self.bias + w.sums(value + pair) / np.maximum(w.sizes, 1)
 
 
 class Rows:

@@ -1,12 +1,14 @@
 """Quality rules, and a hashed n-gram logistic regression for what passes them.
 
-The model learns from labelled quality rows (a bounded sample, the ``max_labelled`` rows of
-least XXH64 of doc_id), is calibrated on folds left out, and scores whole texts in Arrow
+The model learns from labelled quality rows (a bounded sample, the ``max_labelled`` documents
+of least XXH64 of doc_id, one row each), is calibrated on folds left out, and scores whole texts in Arrow
 batches; a text is kept if it breaks no rule and its probability reaches ``threshold``.
 
 Defined cases: null and empty texts have no words and fail the rules; several labels of a
 document count as their least; null labels and labels of unknown documents are ignored;
-without rows of both classes the model rejects nothing.
+without rows of both classes the model rejects nothing; repeated rows are judged one by one;
+rows without doc_id are judged, not learned from; an empty table gives no rows; columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import map_batches, raw_texts
-from quillgraph.llm.hashed_text import Features, Rows, Scorer, cross_fitted, sigmoid
+from quillgraph.llm.common import map_batches, one_a_document, raw_texts
+from quillgraph.llm.hashed_text import Rows, Scorer, Words, cross_fitted, features, sigmoid
 from quillgraph.llm.window_doubling import window_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -26,8 +28,8 @@ MAX_LABELLED = 2000
 THRESHOLD = 0.5
 
 
-def rules(raw: bytes, words: list[bytes], h: np.ndarray) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+def rules(raw: bytes, h: np.ndarray) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text and its words' hashes."""
     chars = len(raw.decode()) - (len(raw) - len(raw.translate(None, SPACES)))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     seen, dup = set(), 0
@@ -44,12 +46,12 @@ def rules(raw: bytes, words: list[bytes], h: np.ndarray) -> tuple[int, int, int,
             again = np.zeros(len(windows), bool)
             again[order[1:][same]] = True
             again[order[:-1][same]] = True
-            edge = np.zeros(len(words) + 1, np.int64)
+            edge = np.zeros(len(h) + 1, np.int64)
             at = np.flatnonzero(again)
             edge[at] += 1
             edge[at + 5] -= 1
             repeat = int((np.cumsum(edge[:-1]) > 0).sum())
-    return len(words), chars, symbols, dup, repeat
+    return len(h), chars, symbols, dup, repeat
 
 
 def labelled(docs: DataFrame, labels: DataFrame, name: str, most: int) -> DataFrame:
@@ -57,17 +59,15 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str, most: int) -> DataFr
     y = labels.where(F.col(name).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(name).cast("double").alias("y"))
     # no more rows than the parameter says: small enough to broadcast
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return one_a_document(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "y")
 
 
 def training_rows(sample: DataFrame) -> tuple[Rows, np.ndarray, np.ndarray]:
     """Features, labels and folds of a bounded sample (doc_id, text, y), in order of doc_id."""
 
     def make():
-        features = Features()
-
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [features(raw.split()) for raw in raw_texts(batch)]
+            found = features(batch.column(1))
             return pa.record_batch([batch.column(0), batch.column(2), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["doc_id", "y", "at", "x"])
 
         return run
@@ -91,16 +91,13 @@ def judge(docs: DataFrame, model: tuple | None, threshold: float = THRESHOLD) ->
     def make():
         w, b, slope, offset = model or (np.zeros(0), 0.0, 1.0, 0.0)
         scorer = Scorer(w, b) if model else None
-        hashes = Scorer(np.zeros(1), 0.0).hashes
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for raw in raw_texts(batch):
-                words = raw.split()
-                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                counts = rules(raw, words, h)
+            words, out = Words(batch.column(1)), []
+            probability = sigmoid(slope * scorer(words) + offset) if scorer else np.ones(batch.num_rows)
+            for raw, h, p in zip(raw_texts(batch), words.texts(words.hashes), probability.tolist(), strict=True):
+                counts = rules(raw, h)
                 failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
-                p = float(sigmoid(slope * scorer(words, h) + offset)) if scorer else 1.0
                 out.append((*counts, failed, not failed and p >= threshold, p))
             columns = list(zip(*out, strict=True))
             return pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.bool_()) for c in columns[5:7]), pa.array(columns[7], pa.float64())], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"])

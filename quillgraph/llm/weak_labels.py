@@ -7,19 +7,20 @@ labeller's accuracy.  The posterior labels of a bounded sample (``max_sample`` d
 least XXH64 of doc_id) train a hashed linear scorer, which then scores every text.
 
 Defined cases: a null or empty text gets one bad vote (it is too short); equal rows get
-equal results; an empty table gives no rows.
+equal results; rows without doc_id vote and are scored, but no sample has them; of rows that
+share a doc_id the sample has the one whose text has the least hash; an empty table gives no
+rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Memo, map_batches, raw_texts, saved
-from quillgraph.llm.hashed_text import Scorer, fit, platt, sigmoid
+from quillgraph.llm.common import map_batches, one_a_document, raw_texts, saved
+from quillgraph.llm.hashed_text import Scorer, Words, fit, platt, sigmoid
 from quillgraph.llm.quality_rules import rules, training_rows
 
 #: Frequent words of English, German, French and Spanish.
@@ -31,14 +32,15 @@ THRESHOLD = 0.5
 _UPPER = bytes(range(65, 91))
 
 
-def votes(raw: bytes, words: list[bytes], h: np.ndarray) -> list[int]:
-    n, chars, symbols, dup, repeat = rules(raw, words, h)
+def votes(raw: bytes, h: np.ndarray, frequent: int) -> list[int]:
+    """Of a text, its words' hashes and the number of its frequent words."""
+    n, chars, symbols, dup, repeat = rules(raw, h)
     if not n:
         return [BAD] + [NONE] * 7
     letters = max(1, chars - symbols)
     upper = (len(raw) - len(raw.translate(None, _UPPER))) / letters
     lines = raw.count(b"\n") + 1
-    common = sum(w.lower() in COMMON for w in words[:]) / n
+    common = frequent / n
     mean = chars / n
     marks = (raw.count(b"!") + raw.count(b"|")) / n
 
@@ -49,6 +51,12 @@ def votes(raw: bytes, words: list[bytes], h: np.ndarray) -> list[int]:
     return [by(n, 30, 8), by(symbols / chars, 0.01, 0.08), by(upper, 0.12, 0.4), by(repeat / n, 0.05, 0.25), by(dup / lines, 0.02, 0.3), by(common, 0.12, 0.02), GOOD if 3 <= mean <= 8 else BAD if mean > 12 or mean < 2 else NONE, by(marks, 0.02, 0.3)]
 
 
+def all_votes(raws: list[bytes], words: Words) -> list[str]:
+    """The votes on each text of a column."""
+    frequent = words.sums(np.fromiter((w.lower() in COMMON for w in words.words), np.int64, len(words.words))[words.which])
+    return ["".join(map(str, votes(*x))) for x in zip(raws, words.texts(words.hashes), frequent.tolist(), strict=True)]
+
+
 def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = 60) -> tuple[float, np.ndarray, np.ndarray]:
     """Prior of good, (labeller, class, vote) probabilities, posterior of good by pattern."""
     m = patterns.shape[1]
@@ -74,14 +82,8 @@ def weak_quality(docs: DataFrame, max_sample: int = MAX_SAMPLE, threshold: float
     docs = docs.select("doc_id", "text")
 
     def make_votes():
-        hashes = Memo(xxhash.xxh64_intdigest, most=600_000)
-
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = []
-            for raw in raw_texts(batch):
-                words = raw.split()
-                found.append("".join(map(str, votes(raw, words, np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))))))
-            return pa.record_batch([pa.array(found, pa.string())], ["votes"])
+            return pa.record_batch([pa.array(all_votes(raw_texts(batch), Words(batch.column(1))), pa.string())], ["votes"])
 
         return run
 
@@ -93,22 +95,16 @@ def weak_quality(docs: DataFrame, max_sample: int = MAX_SAMPLE, threshold: float
     _, _, post = estimate(patterns, np.array([r["count"] for r in counted], float))
     posterior = {r.votes: float(p) for r, p in zip(counted, post, strict=True)}
 
-    # of documents that share an id one is taken
     chosen = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
 
     def make_labels():
-        hashes = Memo(xxhash.xxh64_intdigest, most=200_000)
-
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            y = []
-            for raw in raw_texts(batch):
-                words = raw.split()
-                y.append(posterior.get("".join(map(str, votes(raw, words, np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))))), 0.5))
+            y = [posterior.get(v, 0.5) for v in all_votes(raw_texts(batch), Words(batch.column(1)))]
             return pa.record_batch([batch.column(0), batch.column(1), pa.array(y, pa.float64())], ["doc_id", "text", "y"])
 
         return run
 
-    sample = map_batches(docs.join(F.broadcast(chosen), "doc_id"), "doc_id long, text string, y double", make_labels)
+    sample = map_batches(one_a_document(docs.join(F.broadcast(chosen), "doc_id")), "doc_id long, text string, y double", make_labels)
     rows, y, _ = training_rows(saved(sample, "weak-sample"))
     w, b = fit(rows, y, np.ones(rows.n)) if rows.n else (np.zeros(3), 0.0)
     slope, offset = platt(rows.dot(w) + b, (y > 0.5).astype(float)) if rows.n else (1.0, 0.0)
@@ -118,16 +114,12 @@ def weak_quality(docs: DataFrame, max_sample: int = MAX_SAMPLE, threshold: float
         scorer = Scorer(w, b)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for raw in raw_texts(batch):
-                words = raw.split()
-                h = np.fromiter(map(scorer.hashes.__getitem__, words), np.uint64, len(words))
-                v = "".join(map(str, votes(raw, words, h)))
-                p = posterior.get(v, 0.5)
-                s = float(sigmoid(slope * scorer(words, h) + offset)) if trained and words else p
-                out.append((v, p, s, s >= threshold))
-            v, p, s, k = zip(*out, strict=True)
-            return pa.record_batch([batch.column(0), pa.array(v, pa.string()), pa.array(p, pa.float64()), pa.array(s, pa.float64()), pa.array(k, pa.bool_())], ["doc_id", "votes", "posterior", "score", "kept"])
+            words = Words(batch.column(1))
+            v = all_votes(raw_texts(batch), words)
+            p = np.array([posterior.get(x, 0.5) for x in v])
+            # texts without words have their posterior alone
+            s = np.where(words.sizes > 0, sigmoid(slope * scorer(words) + offset), p) if trained else p
+            return pa.record_batch([batch.column(0), pa.array(v, pa.string()), pa.array(p), pa.array(s), pa.array(s >= threshold)], ["doc_id", "votes", "posterior", "score", "kept"])
 
         return run
 
