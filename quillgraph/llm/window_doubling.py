@@ -7,15 +7,18 @@ Anchors found in one document alone end there; windows around repeated ones are
 (about) twice the length and compared again.  ``longest_repeats`` goes on doubling from
 there until no candidates survive.
 
-Windows are compared by 48 bits (anchors, a sieve) and 88 bits (windows that decide) of
-polynomial hashes of the words' XXH64.  Texts with repeated anchors wait in files of the
-shared folder, one a bucket of documents, so that they are shuffled once.  Hashes travel in packed blocks, one a task and bucket; before
-that each task settles what repeats within itself and sends each hash once, with its least
+Windows are compared by 48 bits (anchors, a sieve) and twice 56 bits (windows that decide) of
+polynomial hashes of the words' XXH64, not word by word: at 10**15 windows the chance that any
+two different ones agree is about 10**-4.  Texts with repeated anchors wait in files of the
+shared folder, one a bucket of documents, so that they are shuffled once; there are as many
+buckets as shuffle partitions, or more for a large input (one for each ``BUCKET_BYTES``).
+Hashes travel in packed blocks, one a task and bucket; before that each task settles what repeats within itself and sends each hash once, with its least
 document, so that a passage in a third of all documents is no large group anywhere.
 
 Defined cases: null and empty texts have no words; rows of equal doc_id do not remove words
-from each other; rows without doc_id are kept whole and remove nothing; extra columns are
-ignored.
+from each other; rows without doc_id are kept whole and remove nothing (they are dealt out by
+their text); an empty table gives
+no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import Memo, new_path, open_shared, raw_texts, saved, small_batches
+from quillgraph.llm.hashed_text import Words
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Windows that a task gathers before it sends blocks.
@@ -94,8 +98,8 @@ def _unpack(data: bytes, n: int, *sizes: int) -> list[np.ndarray]:
 
 
 #: Bytes of: first hash, second hash, document, place, mark.  Anchors are only a sieve, so
-#: 48 bits do for them; windows that decide have 88.
-_SIEVE, _DECIDE = (6, 0, 8, 8, 1), (7, 4, 8, 8, 1)
+#: 48 bits do for them; windows that decide have 112.
+_SIEVE, _DECIDE = (6, 0, 8, 8, 1), (7, 7, 8, 8, 1)
 
 
 class _Sender:
@@ -172,6 +176,17 @@ def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
     return np.mod(doc, buckets)
 
 
+#: Bytes of the input for one bucket, and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 50_000
+
+
+def _buckets(docs: DataFrame) -> int:
+    """Shuffle partitions, or more where the input (by the optimiser's estimate) is large."""
+    size = int(docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 60 else 0  # beyond that it is a guess for want of statistics
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-known // BUCKET_BYTES)))
+
+
 def _prime(n: int) -> int:
     while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
         n += 1
@@ -338,14 +353,15 @@ def _half_level(docs: DataFrame, length: int, n: int) -> DataFrame:
     out = new_path(docs.sparkSession, "repeats")
 
     def windows(memo: Memo, batch: pa.RecordBatch):
-        for doc, raw in zip(batch.column(0).to_pylist(), raw_texts(batch), strict=True):
-            h = window_hashes(word_hashes(raw.split(), memo), half)
+        w = Words(batch.column(1))
+        for doc, hashes in zip(batch.column(0).to_pylist(), w.texts(w.hashes), strict=True):
+            h = window_hashes(hashes, half)
             at = anchors(h, span)
             yield doc, h[at], np.zeros(len(at), np.int64), at
 
     sent = _send(docs.where("doc_id is not null"), windows, _prime(n), True, anchors_only=True)
     places = _repeated(sent, n, True, anchors_only=True)
-    bucket = F.coalesce(F.pmod("doc_id", F.lit(_prime(n))), F.lit(0)).cast("int")
+    bucket = F.coalesce(F.pmod("doc_id", F.lit(_prime(n))), F.pmod(F.xxhash64("text"), F.lit(_prime(n)))).cast("int")
     text_rows = docs.select(F.lit(_PLACES + 1).alias("kind"), bucket.alias("bucket"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("block"), "doc_id", "text")
     place_rows = places.select("kind", "bucket", "n", "block", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
 
@@ -383,10 +399,10 @@ def _send_longer(level: DataFrame, length: int, reach: int, n: int, both: bool)
                 words = word_hashes(raw.split(), memo)
                 at = _around(np.frombuffer(places, "<i4").astype(np.int64), reach, len(words) - length + 1)
                 if len(at):
-                    second = (window_hashes(words, length, 1)[at] >> np.uint64(32)).astype(np.int64)
+                    second = (window_hashes(words, length, 1)[at] >> np.uint64(8)).astype(np.int64)
                     yield doc, window_hashes(words, length)[at], second, at
 
-    return _send(level.where("not done").select("path").repartition(n, "path"), windows, _prime(n), both)
+    return _send(level.where("not done").select("path", "bucket").repartitionById(n, F.col("bucket")), windows, _prime(n), both)
 
 
 def _on_files(level: DataFrame, places: DataFrame, n: int, each, schema: str, finish=None) -> DataFrame:
@@ -415,7 +431,7 @@ def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: without the windows that an earlier document has."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _buckets(docs)
     level = _half_level(docs, length, n)
     later = _repeated(_send_longer(level, length, length - (length + 1) // 2, n, False), n, False)
 
@@ -447,7 +463,7 @@ def longest_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     windows is in another document too; documents without any are left out."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _buckets(docs)
     level, reach, out = _half_level(docs, length, n), length - (length + 1) // 2, None
     while True:
         places = _repeated(_send_longer(level, length, reach, n, True), n, True)
