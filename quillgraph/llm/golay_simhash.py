@@ -17,7 +17,8 @@ the edges of a spanning forest, no more than there are members.
 
 Defined cases: a text without words (null, empty, white space) has fingerprint zero and is
 linked like any other; rows of equal doc_id are one node in effect; a null doc_id never is
-a component's name unless all its members have none; extra columns are ignored.
+a component's name unless all its members have none; an empty table gives no rows; columns
+other than doc_id and text are ignored (``representatives`` passes them on, whatever their names).
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import map_batches, raw_texts, saved, small_batches
+from quillgraph.llm.common import joined_by_id, map_batches, raw_texts, saved, small_batches
 from quillgraph.llm.components import components
 
 BITS = 4
@@ -218,6 +219,4 @@ def representatives(docs: DataFrame, bits: int = BITS, few: int = FEW_IDS) -> Da
     Rows that share a doc_id stay or go together; rows without doc_id stay.
     """
     gone = saved(near_duplicates(docs, bits).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    if gone.limit(few + 1).count() <= few:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return joined_by_id(docs, gone, "left_anti", few)

@@ -27,7 +27,7 @@ import re._parser as parser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import saved
+from quillgraph.llm.common import free, joined_by_id, named, saved
 from quillgraph.llm.spans import joined, matches, quoted
 
 BASE = ["assign", "access", "hex"]
@@ -203,20 +203,12 @@ def candidates(docs: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> Da
     return hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
 
 
-def _join(docs: DataFrame, found: DataFrame, few: int) -> DataFrame:
-    """Documents with the rules they are candidates for (null: none)."""
-    found = saved(found.withColumnRenamed("rules", "_secret_rules"), "secret-candidates")
-    if found.limit(few + 1).count() <= few:
-        found = F.broadcast(found)
-    return docs.join(found, "doc_id", "left")
-
-
-def _found(rules: list[tuple[str, str, str]], text: str = "text") -> str:
-    """SQL: the spans of all rules, each looked for where it may be."""
+def _found(rules: list[tuple[str, str, str]], fits: str, text: str = "text") -> str:
+    """SQL: the spans of all rules, each looked for where it may be (column ``fits``)."""
     out = []
     for i, (kind, pattern, test) in enumerate(rules):
         scan = trigram_query(pattern) is True
-        where = f"{text} rlike {quoted(pattern)}" if scan else f"doc_id is null or coalesce(array_contains(_secret_rules, {i}), false)"
+        where = f"{text} rlike {quoted(pattern)}" if scan else f"doc_id is null or coalesce(array_contains(`{fits}`, {i}), false)"
         spans = matches(text, kind, pattern, where)
         if test == "assign":
             # what follows the sign and one quote; shorter ones fail
@@ -225,10 +217,12 @@ def _found(rules: list[tuple[str, str, str]], text: str = "text") -> str:
     return "concat(" + ", ".join(out) + ")"
 
 
-def _scanned(docs: DataFrame, few: int) -> DataFrame:
+def _scanned(docs: DataFrame, few: int, spans: str = "spans") -> DataFrame:
+    """The documents, null texts as empty ones, with a column of all spans."""
+    fits = free("fitting_rules", [*docs.columns, spans])
     texts = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    spans = F.expr(_found(RULES))
-    return _join(texts, candidates(docs), few).withColumn("_secret_spans", spans)
+    found = saved(candidates(docs).withColumnRenamed("rules", fits), "secret-candidates")
+    return joined_by_id(texts, found, "left", few).withColumn(spans, F.expr(_found(RULES, fits))).drop(fits)
 
 
 def _own(spans: str) -> str:
@@ -239,7 +233,7 @@ def _own(spans: str) -> str:
 
 def secrets(docs: DataFrame, few: int = FEW_IDS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added."""
-    out = _scanned(docs.select("doc_id", "text"), few).select("doc_id", F.expr(_own("_secret_spans")).alias("found"))
+    out = _scanned(docs.select("doc_id", "text"), few).select("doc_id", F.expr(_own("spans")).alias("found"))
     base = f"filter(found, x -> x.k in ({', '.join(map(quoted, BASE))}))"
     out = out.select("doc_id", "found", F.expr(base).alias("base"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.k = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE]
@@ -249,13 +243,14 @@ def secrets(docs: DataFrame, few: int = FEW_IDS) -> DataFrame:
 def masked(docs: DataFrame, few: int = FEW_IDS) -> DataFrame:
     """The documents, all columns, with each secret in text replaced by a mark; n_chars follows."""
     columns = docs.columns
-    found = _scanned(docs.withColumn("_secret_null", F.col("text").isNull()), few)
+    spans, null = free("secret_spans", columns), free("text_is_null", columns)
+    found = _scanned(docs.withColumn(null, F.col("text").isNull()), few, spans)
     # spans by start; what an earlier one covers is not cut again
-    cut = f"""aggregate(array_sort(transform(_secret_spans, x -> named_struct('s', x.s, 'e', x.e))), named_struct('at', 0, 'out', ''), (a, x) ->
+    cut = f"""aggregate(array_sort(transform(`{spans}`, x -> named_struct('s', x.s, 'e', x.e))), named_struct('at', 0, 'out', ''), (a, x) ->
         if(x.s < a.at, named_struct('at', greatest(a.at, x.e), 'out', a.out),
            named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), {quoted(MARK)}))),
         a -> concat(a.out, substring(text, a.at + 1)))"""
-    found = found.withColumn("text", F.expr(f"if(_secret_null, cast(null as string), if(size(_secret_spans) = 0, text, {cut}))"))
+    found = found.withColumn("text", F.expr(f"if(`{null}`, cast(null as string), if(size(`{spans}`) = 0, text, {cut}))"))
     if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.expr("if(size(_secret_spans) = 0, n_chars, cast(length(text) as bigint))"))
-    return found.select(*columns)
+        found = found.withColumn("n_chars", F.expr(f"if(size(`{spans}`) = 0, n_chars, cast(length(text) as bigint))"))
+    return found.select(*named(columns))

@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillgraph.llm.common import Memo, map_batches, named, one_a_document, raw_texts, saved, small_batches
+from quillgraph.llm.common import Memo, map_batches, named, one_a_document, raw_texts, release, saved, small_batches
+from quillgraph.llm.hashed_text import Words
 
 MAX_LABELLED = 12_000
 THRESHOLD = 0.7
@@ -85,12 +86,11 @@ def word_code(raw: bytes, lexicon: frozenset) -> int:
     return code
 
 
-def features(raw: bytes, codes) -> list[float]:
-    words = raw.split()
-    n = len(words)
+def features(raw: bytes, c: np.ndarray) -> list[float]:
+    """Of a text and the codes of its words."""
+    n = len(c)
     if not n:
         return [0.0] * len(NAMES)
-    c = np.fromiter(map(codes.__getitem__, words), np.uint8, n)
     share = lambda bit: float(np.count_nonzero(c & bit)) / n
     hit = np.flatnonzero(c & (_FIXED | _WORD | _START | _HIDDEN))
     second = np.flatnonzero(c & _SECOND)
@@ -105,6 +105,11 @@ def features(raw: bytes, codes) -> list[float]:
     return [share(_FIXED), share(_WORD), share(_START), len(hit) / n, float(min(20, len(hit))), share(_HIDDEN), share(_INSIDE), share(_SECOND), near, nearest, share(_CAPITALS), share(_CAPITAL), marks / size, raw.count(b"!") / n, float(min(50, run)), float(np.log1p(n))]
 
 
+def coded(w: Words, codes: Memo) -> Iterator[np.ndarray]:
+    """The codes of the words of each text."""
+    return w.texts(np.fromiter(map(codes.__getitem__, w.words), np.uint8, len(w.words)))
+
+
 class Trees:
     """Boosted trees for the logistic loss; splits on quantile bins; levels grown as wholes."""
 
@@ -223,6 +228,8 @@ def _counts(sample: DataFrame) -> DataFrame:
                 if len(found) >= GATHER:
                     yield out()
         yield out()
+        del memo
+        release()
 
     small_batches(sample.sparkSession)
     return sample.select("text", "y", "half").mapInArrow(run, "term string, t0 long, c0 long, t1 long, c1 long")
@@ -256,7 +263,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         codes = [Memo(lambda w, k=k: word_code(w, lexicons[k]), most=60_000) for k in (0, 1)]
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = [np.array(features(raw, codes[1 - half])).tobytes() for raw, half in zip(raw_texts(batch, "text"), batch.column(3).to_pylist(), strict=True)]
+            w = Words(batch.column(1))
+            x = [np.array(features(raw, c[1 - half])).tobytes() for raw, half, *c in zip(raw_texts(batch), batch.column(3).to_pylist(), coded(w, codes[0]), coded(w, codes[1]), strict=True)]
             return pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(x, pa.binary())], ["doc_id", "y", "half", "x"])
 
         return run
@@ -286,7 +294,9 @@ def score(docs: DataFrame, model: dict | None, columns: list[str], threshold: fl
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             s = np.zeros(batch.num_rows)
             if model:
-                s = np.interp(model["trees"].raw(np.array([features(raw, codes) for raw in raw_texts(batch)])), *model["steps"])
+                text = batch.column(batch.schema.get_field_index("text"))
+                x = [features(raw, c) for raw, c in zip(raw_texts(batch), coded(Words(text), codes), strict=True)]
+                s = np.interp(model["trees"].raw(np.array(x)), *model["steps"])
             out = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             return pa.record_batch([*out, pa.array(s)], [*columns, name])
 

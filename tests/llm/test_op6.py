@@ -68,3 +68,33 @@ def test_odd(spark):
     assert secrets(odd(spark)).count() == len(ODD)
     assert masked(odd(spark)).columns == odd(spark).columns
     assert secrets(empty(spark)).count() == 0 and masked(empty(spark)).count() == 0
+
+
+def slow_spans(text):
+    """All kinds by Python's engine: base spans, and others that meet none of them."""
+    text = text or ""
+    base = [(a, k, b) for a, k, b in slow(text)]
+    more = [(m.start(), k, m.end()) for k, (_, pattern, _) in enumerate(RULES) if k >= len(BASE) for m in re.finditer(pattern, text)]
+    more = [x for x in more if not any(a < x[2] and x[0] < b for a, _, b in base)]
+    return ",".join(f"{RULES[k][0]}:{a}:{b}" for a, k, b in sorted(base + more))
+
+
+def test_added_spans(spark):
+    extra = ["gho_" + "Z9" * 20, "AIza" + "x" * 35, "sk_live_" + "a1" * 10, "eyJabcdefgh.eyJabcdefgh.abcdefgh", "http://user:secretpw@host", "-----BEGIN PRIVATE KEY-----", "xoxp-12345-67890-ab"]
+    texts = some_texts(300) + [f"{a} é {b}{c}" for a in extra for b in extra for c in ("", "x", " token=abcdefghijklmnop")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in secrets(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].spans == slow_spans(t), t
+        assert got[i].n_added == (got[i].spans.count(":") - sum(tuple(got[i])[1:4]) * 2) // 2
+
+
+def test_clashing_columns(spark):
+    names = ["fitting_rules", "secret_spans", "text_is_null", "rules", "spans", "found", "a`b", "grams"]
+    docs = odd(spark).selectExpr("*", *(f"doc_id + {k} as `{c.replace('`', '``')}`" for k, c in enumerate(names)))
+    for few in (0, 10**6):
+        out = masked(docs, few)
+        assert out.columns == docs.columns and out.count() == len(ODD)
+        # the masked texts keep their own columns
+        assert all(r.doc_id is None or [r[c] for c in names] == [r.doc_id + k for k in range(len(names))] for r in out.collect())
+        assert secrets(docs, few).count() == len(ODD)
