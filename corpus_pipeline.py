@@ -2,6 +2,12 @@
 
 toxic documents go; of near copies one stays; documents that hold benchmark passages go;
 secrets are masked; the last stage encodes and decodes the texts that remain.
+
+Defined cases: null and empty texts pass every stage (null stays null up to the last, which
+encodes it as empty); rows without doc_id stay in near_dedup; rows that share a doc_id are
+judged by their own texts, but in near_dedup stay or go together; extra columns, whatever their
+names, are passed on up to the last stage; an empty table of documents, labels or benchmark
+items makes the stages that read it keep everything, and an empty corpus gives no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bpe_transducer, golay_simhash, latent_decontamination, secret_index, toxicity_trees
-from quillgraph.llm.common import saved
+from quillgraph.llm.common import discard, free, saved
 
 #: SQL cannot express these stages; tests/llm/test_pipeline.py runs them against slow versions.
 ORACLE_SQL = None
@@ -20,9 +26,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
     model = toxicity_trees.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    name = "_toxicity_score"
-    while name in docs.columns:
-        name += "_"
+    name = free("toxicity_score", docs.columns)
     return toxicity_trees.score(docs, model, docs.columns, name=name).where(F.col(name) < toxicity_trees.THRESHOLD).drop(name)
 
 
@@ -57,9 +61,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = saved(docs, f"stage-{name}")
+            if before is not None:
+                discard(before)  # all that read it is written
+            before = docs
     return docs
