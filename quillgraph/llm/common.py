@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -124,17 +124,19 @@ def named(columns: list[str]) -> list:
     return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
 
 
-def joined_by_id(docs: DataFrame, found: DataFrame, how: str, few: int) -> DataFrame:
+def joined_by_id(docs: DataFrame, found: DataFrame, how: str, few: int, only: Column | None = None) -> DataFrame:
     """``docs`` (left or left_anti) join ``found`` (saved, of distinct doc_ids, none null) by doc_id.
 
     ``found`` is broadcast while it has ``few`` rows at most (counted).  Beyond that both are
-    shuffled; rows without doc_id match nothing and stay out of the shuffle.
+    shuffled; rows without doc_id match nothing and stay out of the shuffle, and so do those
+    that by ``only`` (never null) cannot match.
     """
     columns = [*docs.columns, *(c for c in found.columns if how == "left" and c != "doc_id")]
     if found.limit(few + 1).count() <= few:
         return docs.join(F.broadcast(found), "doc_id", how).select(*named(columns))
-    rest = docs.where("doc_id is null")
-    met = docs.where("doc_id is not null").join(found, "doc_id", how).select(*named(columns))
+    may = F.col("doc_id").isNotNull() if only is None else F.col("doc_id").isNotNull() & only
+    rest = docs.where(~may)
+    met = docs.where(may).join(found, "doc_id", how).select(*named(columns))
     return met.unionByName(rest, allowMissingColumns=True)
 
 

@@ -12,7 +12,7 @@ Of a conjunction the rarest trigrams are kept.  Letters are compared without cas
 index.  Both may add candidates, never lose one.
 
 Candidates go back to their texts by a broadcast join while they are few (``FEW_IDS``,
-counted), by a shuffle join beyond that.
+counted); beyond that by a shuffle join of the documents that hold any trigram of the index.
 
 Defined cases: a null text is empty; rows of equal doc_id are candidates together and
 verified one by one; rows without doc_id are verified for all rules; an empty table gives no
@@ -187,12 +187,17 @@ def _lists(q) -> str:
     return out
 
 
-def candidates(docs: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """doc_id, rules (numbers of the rules whose trigram query it fits), by the index."""
+def _indexed(rules: list[tuple[str, str, str]]) -> tuple[dict[int, object], str]:
+    """The rules' queries, and SQL for the trigrams of a text that the index keeps (one pass)."""
     queries = {i: thin(q) for i, (_, p, _) in enumerate(rules) if (q := trigram_query(p)) is not True}
     names = sorted(set().union(*(trigrams(q) for q in queries.values()), set()))
-    # a document's trigrams that the index keeps (one pass over the text), then postings by block
-    here = f"array_distinct(transform(regexp_extract_all(text, {quoted(f'(?i)(?=({_any_of(names)}))')}, 1), x -> lower(x)))"
+    return queries, f"array_distinct(transform(regexp_extract_all(text, {quoted(f'(?i)(?=({_any_of(names)}))')}, 1), x -> lower(x)))"
+
+
+def candidates(docs: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """doc_id, rules (numbers of the rules whose trigram query it fits), by the index."""
+    # a document's trigrams that the index keeps, then postings by block
+    queries, here = _indexed(rules)
     blocks = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.expr(here).alias("grams"))
     n = max(1, docs.count() // BLOCK)
@@ -222,7 +227,8 @@ def _scanned(docs: DataFrame, few: int, spans: str = "spans") -> DataFrame:
     fits = free("fitting_rules", [*docs.columns, spans])
     texts = docs.withColumn("text", F.coalesce("text", F.lit("")))
     found = saved(candidates(docs).withColumnRenamed("rules", fits), "secret-candidates")
-    return joined_by_id(texts, found, "left", few).withColumn(spans, F.expr(_found(RULES, fits))).drop(fits)
+    # documents without any trigram of the index are candidates for nothing
+    return joined_by_id(texts, found, "left", few, F.expr(f"size({_indexed(RULES)[1]}) > 0")).withColumn(spans, F.expr(_found(RULES, fits))).drop(fits)
 
 
 def _own(spans: str) -> str:
