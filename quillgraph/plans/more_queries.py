@@ -334,13 +334,13 @@ def index_staleness(spark, d):
     return out
 
 
-@query(f"""WITH {PLACE_GRAPH_SQL}, {DEGREE_SQL}, v AS ({_topk_sql("SELECT 1 AS query_id, 'NATION_1' AS text", 5).replace("SELECT query_id, doc_id, rank", "SELECT doc_id, rank")}),
-h AS (SELECT n.name, array_to_string(types, ', ') AS type, degree, row_number() OVER (ORDER BY node_ord) AS k FROM nodes n JOIN deg ON n.name = deg.name WHERE contains(lower(n.name), 'nation_1'))
+@query(f"""WITH {PLACE_GRAPH_SQL}, {DEGREE_SQL}, v AS ({_topk_sql("SELECT 1 AS query_id, 'on' AS text", 5).replace("SELECT query_id, doc_id, rank", "SELECT doc_id, rank")}),
+h AS (SELECT n.name, array_to_string(types, ', ') AS type, degree, row_number() OVER (ORDER BY node_ord) AS k FROM nodes n JOIN deg ON n.name = deg.name WHERE contains(lower(n.name), 'on'))
 SELECT 'vector' AS section, rank::INT AS rank, v.doc_id::VARCHAR AS key, substring(text, 1, 300) AS detail, score FROM v JOIN documents ON v.doc_id = documents.doc_id UNION ALL SELECT 'graph', k::INT, name, type, degree::DOUBLE FROM h WHERE k <= 10""")
 def hybrid_names(spark, d):
     """V7: passages and names."""
     chunks = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("doc_id").alias("ord"))
-    return hybrid("NATION_1", vectors.build_index(chunks), chunks, *_places(spark, d)).withColumn("score", F.round("score", 6))
+    return hybrid("on", vectors.build_index(chunks), chunks, *_places(spark, d)).withColumn("score", F.round("score", 6))
 
 
 # --- names, pages, changes
