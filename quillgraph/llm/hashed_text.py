@@ -131,20 +131,31 @@ class Scorer:
 
 
 class Rows:
-    """Training rows in one sparse matrix."""
+    """Training rows in one sparse matrix, held by rows and by columns."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
         self.n = len(rows)
         sizes = np.array([len(i) for i, _ in rows], np.int64)
-        self.row = np.repeat(np.arange(self.n), sizes)
+        self.full = np.flatnonzero(sizes)
+        self.starts = (np.cumsum(sizes) - sizes)[self.full]
         self.at = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.int32)
-        self.x = np.concatenate([v for _, v in rows]).astype(np.float64) if rows else np.zeros(0)
+        self.x = np.concatenate([v for _, v in rows]) if rows else np.zeros(0, np.float32)
+        order = np.argsort(self.at, kind="stable")
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order]
+        self.x_of_column = self.x[order]
+        self.columns, self.column_starts = np.unique(self.at[order], return_index=True)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.x * w[self.at], minlength=self.n)
+        out = np.zeros(self.n)
+        if len(self.full):
+            out[self.full] = np.add.reduceat(self.x * w[self.at], self.starts)
+        return out
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, self.x * r[self.row], minlength=SIZE)
+        out = np.zeros(SIZE)
+        if len(self.columns):
+            out[self.columns] = np.add.reduceat(self.x_of_column * r[self.row], self.column_starts)
+        return out
 
 
 def sigmoid(z):
