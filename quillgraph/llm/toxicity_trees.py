@@ -5,7 +5,7 @@ beginnings learned from labels), how near its hits stand to words of the second
 capitals, punctuation, and rates of obfuscated words (digits or signs inside a word, and
 hits found only after undoing them).
 
-The learned lexicon is counted by Spark, in one pass, over a bounded sample of labelled
+The learned lexicon is counted by Spark, once in toxic and once in other rows, over a bounded sample of labelled
 documents (``max_labelled``, of least XXH64 of doc_id; one row a document, that of least
 XXH64 of text); its ``MOST_TERMS`` strongest terms are the model's lexicon.  The sample has two halves; a row's training
 features use the lexicon of the other half, so that the trees see hits as new texts have
@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillgraph.llm.common import Memo, map_batches, named, one_a_document, raw_texts, release, saved, small_batches
-from quillgraph.llm.hashed_text import Words
 
 MAX_LABELLED = 12_000
 THRESHOLD = 0.7
@@ -86,11 +85,12 @@ def word_code(raw: bytes, lexicon: frozenset) -> int:
     return code
 
 
-def features(raw: bytes, c: np.ndarray) -> list[float]:
-    """Of a text and the codes of its words."""
-    n = len(c)
+def features(raw: bytes, codes: Memo) -> list[float]:
+    words = raw.split()
+    n = len(words)
     if not n:
         return [0.0] * len(NAMES)
+    c = np.fromiter(map(codes.__getitem__, words), np.uint8, n)
     share = lambda bit: float(np.count_nonzero(c & bit)) / n
     hit = np.flatnonzero(c & (_FIXED | _WORD | _START | _HIDDEN))
     second = np.flatnonzero(c & _SECOND)
@@ -105,11 +105,6 @@ def features(raw: bytes, c: np.ndarray) -> list[float]:
     return [share(_FIXED), share(_WORD), share(_START), len(hit) / n, float(min(20, len(hit))), share(_HIDDEN), share(_INSIDE), share(_SECOND), near, nearest, share(_CAPITALS), share(_CAPITAL), marks / size, raw.count(b"!") / n, float(min(50, run)), float(np.log1p(n))]
 
 
-def coded(w: Words, codes: Memo) -> Iterator[np.ndarray]:
-    """The codes of the words of each text."""
-    return w.texts(np.fromiter(map(codes.__getitem__, w.words), np.uint8, len(w.words)))
-
-
 class Trees:
     """Boosted trees for the logistic loss; splits on quantile bins; levels grown as wholes."""
 
@@ -202,56 +197,61 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 
 #: Terms that a task counts before it sends the counts on.
-GATHER = 100_000
+GATHER = 50_000
 
 
-def _counts(sample: DataFrame) -> DataFrame:
-    """term, t0, c0, t1, c1: in how many toxic and clean rows of each half a term is."""
+def _counts(rows: DataFrame, least: int, wanted: frozenset | None = None) -> dict[str, tuple[int, int]]:
+    """In how many rows of either half a term is, for terms (of the wanted) in so many rows at least.
+
+    The rows are a bounded sample, and so is what comes to the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda w: terms(w.decode("utf-8", "replace")), most=40_000)
+        memo = Memo(lambda w: [t for t in terms(w.decode("utf-8", "replace")) if wanted is None or t in wanted], most=40_000)
         found: dict[str, list[int]] = {}
 
         def out() -> pa.RecordBatch:
-            names, counts = list(found), np.array(list(found.values()), np.int64).reshape(-1, 4)
+            names, counts = list(found), np.array(list(found.values()), np.int64).reshape(-1, 2)
             found.clear()
-            return pa.record_batch([pa.array(names, pa.string()), *(pa.array(c) for c in counts.T)], ["term", "t0", "c0", "t1", "c1"])
+            return pa.record_batch([pa.array(names, pa.string()), *(pa.array(c) for c in counts.T)], ["term", "n0", "n1"])
 
         for batch in batches:
-            for raw, y, half in zip(raw_texts(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                k = 2 * half + (y < 0.5)
+            for raw, half in zip(raw_texts(batch), batch.column(1).to_pylist(), strict=True):
                 for t in {t for w in set(raw.split()) for t in memo[w]}:
                     n = found.get(t)
                     if n is None:
-                        n = found[t] = [0, 0, 0, 0]
-                    n[k] += 1
+                        n = found[t] = [0, 0]
+                    n[half] += 1
                 if len(found) >= GATHER:
                     yield out()
         yield out()
         del memo
         release()
 
-    small_batches(sample.sparkSession)
-    return sample.select("text", "y", "half").mapInArrow(run, "term string, t0 long, c0 long, t1 long, c1 long")
+    small_batches(rows.sparkSession)
+    counted = rows.select("text", "half").mapInArrow(run, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return {r.term: (r.n0, r.n1) for r in counted.where(F.col("n0") + F.col("n1") >= least).collect()}
 
 
 def _lexicons(sample: DataFrame) -> list[frozenset]:
-    """Learned terms of half 0, of half 1, and of both: frequent in toxic rows, rare in others."""
-    summed = _counts(sample).groupBy("term").agg(*(F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")))
-    counts = saved(summed.where(F.col("t0") + F.col("t1") >= 3), "toxic-terms")
-    sizes = sample.groupBy("half").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).collect()
-    n = {r.half: (r.t, r.c) for r in sizes}
+    """Learned terms of half 0, of half 1, and of both: frequent in toxic rows, rare in others.
+
+    Terms are counted in toxic rows first, and in the others those alone that may be chosen.
+    """
+    toxic = _counts(sample.where("y > 0.5"), 3)
+    clean = _counts(sample.where("y < 0.5"), 1, frozenset(toxic)) if toxic else {}
+    sizes = {(r.half, r.y): r["count"] for r in sample.groupBy("half", "y").count().collect()}
     out = []
     for use in ((0,), (1,), (0, 1)):
-        t, c = (sum((F.col(f"{k}{h}") for h in use), F.lit(0)) for k in "tc")
-        toxic, clean = sum(n.get(h, (0, 0))[0] for h in use), sum(n.get(h, (0, 0))[1] for h in use)
-        if not toxic:
-            out.append(frozenset())
-            continue
-        lift = (t / F.lit(float(toxic))) / ((c + 0.5) / F.lit(float(clean + 1)))
-        # a report of the strongest terms: their number bounds what goes to the driver
-        best = counts.select("term", t.alias("t"), lift.alias("lift")).where((F.col("t") >= 3) & (F.col("lift") >= 8)).orderBy(F.col("t").desc(), F.col("lift").desc(), "term").limit(MOST_TERMS).collect()
-        out.append(frozenset(r.term for r in best))
+        of = lambda counts: sum(counts[h] for h in use)  # noqa: E731, B023
+        n_toxic, n_clean = (sum(sizes.get((h, y), 0) for h in use) for y in (1.0, 0.0))
+        found = []
+        for term, counts in toxic.items():
+            t = of(counts)
+            lift = t / max(n_toxic, 1) / ((of(clean.get(term, (0, 0))) + 0.5) / (n_clean + 1))
+            if t >= 3 and lift >= 8:
+                found.append((-t, -lift, term))
+        out.append(frozenset(term for *_, term in sorted(found)[:MOST_TERMS]))
     return out
 
 
@@ -263,8 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         codes = [Memo(lambda w, k=k: word_code(w, lexicons[k]), most=60_000) for k in (0, 1)]
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            w = Words(batch.column(1))
-            x = [np.array(features(raw, c[1 - half])).tobytes() for raw, half, *c in zip(raw_texts(batch), batch.column(3).to_pylist(), coded(w, codes[0]), coded(w, codes[1]), strict=True)]
+            x = [np.array(features(raw, codes[1 - half])).tobytes() for raw, half in zip(raw_texts(batch), batch.column(3).to_pylist(), strict=True)]
             return pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(x, pa.binary())], ["doc_id", "y", "half", "x"])
 
         return run
@@ -294,9 +293,7 @@ def score(docs: DataFrame, model: dict | None, columns: list[str], threshold: fl
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             s = np.zeros(batch.num_rows)
             if model:
-                text = batch.column(batch.schema.get_field_index("text"))
-                x = [features(raw, c) for raw, c in zip(raw_texts(batch), coded(Words(text), codes), strict=True)]
-                s = np.interp(model["trees"].raw(np.array(x)), *model["steps"])
+                s = np.interp(model["trees"].raw(np.array([features(raw, codes) for raw in raw_texts(batch)])), *model["steps"])
             out = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             return pa.record_batch([*out, pa.array(s)], [*columns, name])
 

@@ -216,7 +216,7 @@ def test_toxic_features_against_slow_version(tables):
     texts = [" ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(400)] + [r.text or "" for r in docs.limit(100).collect()]
     codes = toxicity_trees.Memo(lambda w: toxicity_trees.word_code(w, lexicon))
     for t in texts:
-        assert np.allclose(toxicity_trees.features(t.encode(), np.array([codes[w] for w in t.encode().split()], np.uint8)), slow_toxic_features(t, lexicon)), t
+        assert np.allclose(toxicity_trees.features(t.encode(), codes), slow_toxic_features(t, lexicon)), t
 
 
 def test_tree_against_all_splits():
@@ -254,13 +254,31 @@ def test_lexicon_counts(spark):
     want = {}
     for _, text, y, half in rows:
         for t in {t for w in text.split() for t in toxicity_trees.terms(w)}:
-            want.setdefault(t, [0, 0, 0, 0])[2 * half + (y == 0)] += 1
-    got = toxicity_trees._counts(sample).groupBy("term").sum("t0", "c0", "t1", "c1").collect()
-    assert {r[0]: list(r)[1:] for r in got} == want and len(want) > 15
+            want.setdefault(t, [0, 0])[half] += 1
+    want = {t: tuple(n) for t, n in want.items()}
+    assert toxicity_trees._counts(sample, 1) == want and len(want) > 15
+    assert toxicity_trees._counts(sample, 50) == {t: n for t, n in want.items() if sum(n) >= 50}
+    some = frozenset(sorted(want)[::3])
+    assert toxicity_trees._counts(sample, 1, some) == {t: n for t, n in want.items() if t in some}
     # words of more than 60 characters count, too
     assert any(t.startswith("#") for t in want)
 
 
+def test_lexicons(spark):
+    """Terms by their counts in both halves, chosen by loops."""
+    rnd = random.Random(12)
+    rows = [(k, " ".join(rnd.choice(["grom", "flib", "snark"] if k % 4 == 0 and rnd.random() < 0.4 else ["alpha", "beta", "gamma"]) for _ in range(6)), float(k % 4 == 0), k % 3 % 2) for k in range(200)]
+    for use, got in zip(((0,), (1,), (0, 1)), toxicity_trees._lexicons(spark.createDataFrame(rows, "doc_id long, text string, y double, half int").repartition(3)), strict=True):
+        mine = [(set(toxicity_trees.Memo(lambda t: [x for w in t.split() for x in toxicity_trees.terms(w)])[text]), y) for _, text, y, half in rows if half in use]
+        toxic, clean = sum(y for _, y in mine), sum(1 - y for _, y in mine)
+        want = set()
+        for t in set().union(*(s for s, _ in mine)):
+            a, b = sum(t in s and y == 1 for s, y in mine), sum(t in s and y == 0 for s, y in mine)
+            if a >= 3 and a / toxic / ((b + 0.5) / (clean + 1)) >= 8:
+                want.add(t)
+        assert got == want and "=grom" in got and "=alpha" not in got
+
+
 def test_bound_on_rows(spark):
     """Many rows of few ids: the sample has one row an id."""
     docs = spark.createDataFrame([(k % 3, f"text {k}") for k in range(3000)], "doc_id long, text string").repartition(3)
