@@ -34,20 +34,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Memo, new_path, open_shared, raw_texts, saved, small_batches
-from quillgraph.llm.hashed_text import Words
+from quillgraph.llm.common import new_path, open_shared, raw_texts, saved, small_batches
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Windows that a task gathers before it sends blocks.
 GATHER = 1_000_000
 
 
-def word_hashes(words: list[bytes], memo: Memo) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-
-def new_memo() -> Memo:
-    return Memo(xxhash.xxh64_intdigest, most=200_000)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def window_hashes(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:
@@ -203,10 +198,10 @@ def _rows(kind: int, blocks: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _send(df: DataFrame, windows, buckets: int, both: bool, anchors_only: bool = False) -> DataFrame:
-    """Blocks of the windows that ``windows(memo, batch)`` yields as (doc, first, second, places)."""
+    """Blocks of the windows that ``windows(batch)`` yields as (doc, first, second, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sender = new_memo(), _Sender(buckets, both, anchors_only)
+        sender = _Sender(buckets, both, anchors_only)
 
         def out():
             blocks, (doc, at) = sender.flush()
@@ -216,7 +211,7 @@ def _send(df: DataFrame, windows, buckets: int, both: bool, anchors_only: bool =
                 yield _rows(_PLACES, _doc_blocks(doc, at, buckets))
 
         for batch in batches:
-            for doc, first, second, places in windows(memo, batch):
+            for doc, first, second, places in windows(batch):
                 sender.add(first, second, doc, places)
                 if sender.n >= GATHER:
                     yield from out()
@@ -352,10 +347,9 @@ def _half_level(docs: DataFrame, length: int, n: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     out = new_path(docs.sparkSession, "repeats")
 
-    def windows(memo: Memo, batch: pa.RecordBatch):
-        w = Words(batch.column(1))
-        for doc, hashes in zip(batch.column(0).to_pylist(), w.texts(w.hashes), strict=True):
-            h = window_hashes(hashes, half)
+    def windows(batch: pa.RecordBatch):
+        for doc, raw in zip(batch.column(0).to_pylist(), raw_texts(batch), strict=True):
+            h = window_hashes(word_hashes(raw.split()), half)
             at = anchors(h, span)
             yield doc, h[at], np.zeros(len(at), np.int64), at
 
@@ -393,10 +387,10 @@ def _half_level(docs: DataFrame, length: int, n: int) -> DataFrame:
 def _send_longer(level: DataFrame, length: int, reach: int, n: int, both: bool) -> DataFrame:
     """Windows of the length around the places of a level."""
 
-    def windows(memo: Memo, batch: pa.RecordBatch):
+    def windows(batch: pa.RecordBatch):
         for path in batch.column(0).to_pylist():
             for doc, _, _, raw, places in _records(path):
-                words = word_hashes(raw.split(), memo)
+                words = word_hashes(raw.split())
                 at = _around(np.frombuffer(places, "<i4").astype(np.int64), reach, len(words) - length + 1)
                 if len(at):
                     second = (window_hashes(words, length, 1)[at] >> np.uint64(8)).astype(np.int64)
