@@ -204,7 +204,7 @@ class WordEncoder:
             and all("<|" in a["content"] and not a["single_word"] and not a["lstrip"] and not a["rstrip"] for a in spec.get("added_tokens") or [])
         )
         self.pieces = Memo(self._piece, most=1_200_000)
-        self.words = Memo(self._word, most=800_000)
+        self.words = Memo(self._word, most=1_600_000)
 
     def _library(self, text: str) -> bytes:
         return _little(self.t.encode(text, add_special_tokens=False).ids)
@@ -254,7 +254,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, bits: bool = False, ids_per_shard: int = SHARD_IDS, partitions: int | None = None) -> DataFrame:
     """Encode, write shards, and return their table: path, place (partition, number), documents, ids."""
     spark = docs.sparkSession
-    small_batches(spark, 1024)
+    small_batches(spark, 2048)
     out = new_path(spark, "shards")
     end = np.array([end_id], "<u4").tobytes()
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
