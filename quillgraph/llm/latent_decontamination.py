@@ -4,8 +4,9 @@ Passages are windows of ``WINDOW`` words.  Their TF-IDF vectors (document freque
 counted over all documents; all words outside the benchmark share the weight of a word never
 seen) are projected by a distributed randomised SVD: the workers multiply their sparse
 passages with a thin random matrix and return sums, the driver orthogonalises.  The SVD is
-fitted on the benchmark's passages and those of a bounded sample of documents
-(``SAMPLE_DOCS``, of least XXH64 of doc_id); every window of every document is searched.
+fitted on the benchmark's passages and those of all documents, where each begins half a window
+after the one before and the last holds the words that are left; every window of every document
+is searched.
 
 A window is a candidate for an item if its latent vector and that of a window of the item (one
 at every word) have a cosine of ``COSINE`` at least.  Candidates are checked in place: the longest common subsequence of the item and the
@@ -32,14 +33,17 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import map_batches, one_a_document, raw_texts, saved, small_batches
+from quillgraph.llm.common import discard, map_batches, raw_texts, release, saved, small_batches
 
 WINDOW = 12
 RANK = 64
-SAMPLE_DOCS = 1500
+HALF = WINDOW // 2
+#: Half windows that are multiplied at once, and words in a part of the sums.
+HALVES, PART = 1_024, 256
 BLOCK_ITEMS = 2000
 COSINE = 0.6
 COMMON = 0.6
@@ -97,9 +101,9 @@ class Block:
         return rows, self.scale(rows)
 
     def scale(self, rows: np.ndarray) -> np.ndarray:
-        """1 / norm of the weights summed by word; words outside are taken as all different."""
+        """1 / norm of the weights summed by word; words outside are taken as all different (-2: no word)."""
         order = np.sort(rows, axis=1)
-        w = self.idf[order] ** 2
+        w = self.idf[order] ** 2 * (order > -2)
         same = (order[:, 1:] == order[:, :-1]) & (order[:, 1:] >= 0)
         # (2w)**2 is 4w**2 where two are the same: each further one adds its products with those before
         run = np.zeros(order.shape)
@@ -238,62 +242,142 @@ class Finder:
         return good
 
 
-def _frequencies(docs: DataFrame, block: Block) -> tuple[dict[int, int], int]:
+def halves(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts in rows of half a window (-2: no word), and which rows begin a passage.
+
+    A passage is a row and the next; a text of one row gets an empty one.
+    """
+    sizes = np.array([len(t) for t in texts if len(t)], np.int64)
+    rows = np.maximum(2, -(-sizes // HALF))
+    ends = np.cumsum(rows)
+    words = np.full((int(rows.sum()), HALF), -2)
+    if len(sizes):
+        start = (ends - rows) * HALF
+        words.reshape(-1)[np.arange(sizes.sum()) + np.repeat(start - np.cumsum(sizes) + sizes, sizes)] = np.concatenate([t for t in texts if len(t)])
+    begins = np.ones(len(words), bool)
+    begins[ends - 1] = False
+    return words, begins
+
+
+def add_product(block: Block, words: np.ndarray, begins: np.ndarray, weighted: np.ndarray, total: np.ndarray) -> None:
+    """Adds the transposed passages times the passages times a matrix, less the last weighing by idf.
+
+    ``weighted`` is the matrix times idf, with a last row of zeros.  Rows of half a window are
+    summed once for the two passages that hold them.
+    """
+    for first in range(0, len(words) - 1, HALVES):
+        part = words[first : first + HALVES + 1]
+        here = begins[first : first + len(part) - 1]
+        scale = np.zeros(len(here))
+        scale[here] = block.scale(np.hstack([part[:-1][here], part[1:][here]])) ** 2
+        known = np.where(part < 0, len(weighted) - 1, part)
+        sums = weighted.take(known[:, 0], axis=0)
+        for k in range(1, HALF):
+            sums += weighted.take(known[:, k], axis=0)
+        y = sums[:-1] + sums[1:]
+        y *= scale[:, None]
+        sums[:-1] = y
+        sums[-1] = 0
+        sums[1:] += y
+        at = np.flatnonzero(part.reshape(-1) >= 0)
+        if not len(at):
+            continue
+        w = part.reshape(-1)[at]
+        order = np.argsort(w, kind="stable")
+        new = np.flatnonzero(np.diff(w[order], prepend=-1))
+        total[w[order[new]]] += np.add.reduceat(sums.take(at[order] // HALF, axis=0), new, axis=0)
+
+
+def _numbered(docs: DataFrame, block: Block) -> DataFrame:
+    """The words of each text by their numbers (-1: not in the vocabulary), written once for all passes."""
+    kind = np.min_scalar_type(-len(block.vocabulary) - 1)
+
+    def make():
+        finder = Finder(block)
+        return lambda batch: pa.record_batch([pa.array([finder.ids(raw).astype(kind).tobytes() for raw in raw_texts(batch)], pa.binary())], ["ids"])
+
+    return saved(map_batches(docs.select("text"), "ids binary", make), "svd-words")
+
+
+def _read(batch: pa.RecordBatch, block: Block) -> list[np.ndarray]:
+    kind = np.min_scalar_type(-len(block.vocabulary) - 1)
+    return [np.frombuffer(x, kind).astype(np.int64) for x in batch.column(0).to_pylist()]
+
+
+def _frequencies(numbered: DataFrame, block: Block) -> tuple[dict[int, int], int]:
     """In how many documents each benchmark word is, and the number of documents."""
-    small_batches(docs.sparkSession)
-    vocabulary = block.vocabulary
+    small_batches(numbered.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(block)
-        count, n = np.zeros(len(vocabulary) + 1, np.int64), 0
+        count, n = np.zeros(len(block.vocabulary) + 1, np.int64), 0
         for batch in batches:
-            for raw in raw_texts(batch):
+            for ids in _read(batch, block):
                 seen = np.zeros(len(count), bool)
-                seen[finder.ids(raw)] = True
+                seen[ids] = True
                 count += seen
                 n += 1
         at = np.flatnonzero(count[:-1])
         yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(count[at], n))], ["term", "n"])
 
     # one row a benchmark word goes to the driver
-    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = numbered.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r.term: r.n for r in rows}
     return found, found.pop(-1, 0)
 
 
-def _fit(docs: DataFrame, block: Block, rank: int = RANK, rounds: int = 2, seed: int = 11) -> None:
+def _product(numbered: DataFrame, block: Block, q: np.ndarray) -> np.ndarray:
+    """The transposed passages of all documents times the passages times ``q``."""
+    m, rank = q.shape
+    weighted = np.vstack([q * block.idf[:-1, None], np.zeros((1, rank))])
+    small_batches(numbered.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((m, rank))
+        for batch in batches:
+            add_product(block, *halves(_read(batch, block)), weighted, total)
+        total *= block.idf[:-1, None]
+        task = TaskContext.get().partitionId()
+        for k in range(0, m, PART):
+            yield pa.record_batch([pa.array([k // PART]), pa.array([task]), pa.array([total[k : k + PART].tobytes()], pa.binary())], ["part", "task", "sums"])
+        del total
+        release()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums[k] + np.frombuffer(x) if k in sums else np.frombuffer(x).copy()
+        yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "sums"])
+
+    each = numbered.mapInArrow(run, "part long, task long, sums binary")
+    # the sums of a part meet in one task, in order of the tasks, so that rounding is always the same
+    met = each.repartition(max(1, min(64, -(-m // PART))), "part").sortWithinPartitions("part", "task").select("part", "sums")
+    out = np.zeros((m, rank))
+    # one matrix of (benchmark words x rank) goes to the driver
+    for r in met.mapInArrow(add, "part long, sums binary").collect():
+        out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.sums).reshape(-1, rank)
+    return out
+
+
+def _fit(numbered: DataFrame, block: Block, rank: int = RANK, rounds: int = 2, seed: int = 11) -> None:
     """Randomised SVD (subspace iteration) of the passages' TF-IDF matrix."""
-    spark = docs.sparkSession
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = saved(one_a_document(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")).select("text").repartition(6), "svd-sample")
     own = [block.passages(np.array(w, np.int64), min(WINDOW, len(w))) for _, w in block.items]
     m = len(block.vocabulary)
     rank = min(rank, m)
     rnd = np.random.default_rng(seed)
     q = np.linalg.qr(rnd.standard_normal((m, rank)))[0]
-    small_batches(spark)
 
     def product(q: np.ndarray) -> np.ndarray:
-        padded = np.vstack([q, np.zeros((1, rank))])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder, total = Finder(block), np.zeros((m + 1, rank))
-            for batch in batches:
-                for raw in raw_texts(batch):
-                    rows, scale = block.passages(finder.ids(raw), WINDOW, WINDOW // 2)
-                    if len(rows):
-                        total += block.back(rows, scale, block.times(rows, scale, padded))
-            yield pa.record_batch([pa.array([total[:-1].tobytes()], pa.binary())], ["sums"])
-
-        # six matrices of (benchmark words x rank)
-        total = sum((np.frombuffer(r.sums).reshape(m, rank) for r in sample.mapInArrow(run, "sums binary").collect()), np.zeros((m, rank)))
+        total, padded = _product(numbered, block, q), np.vstack([q, np.zeros((1, rank))])
         for rows, scale in own:
             total += block.back(rows, scale, block.times(rows, scale, padded))[:-1]
         return total
 
     for _ in range(rounds):
-        q = np.linalg.qr(product(q))[0]
-    inner = q.T @ product(q)
+        before, z = q, product(q)
+        q, r = np.linalg.qr(z)
+    # Nystroem's formula: the values in that space, without one more pass
+    inner = r @ np.linalg.pinv(before.T @ z, rcond=1e-12) @ r.T
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     v = q @ vectors[:, ::-1]
     block.finish(np.vstack([v, np.zeros((1, rank))]))
@@ -315,9 +399,11 @@ def fitted_blocks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOC
 def _fitted(docs: DataFrame, items: list) -> Block:
     block = Block(items)
     if block.items:
-        df, n = _frequencies(docs, block)
+        numbered = _numbered(docs, block)
+        df, n = _frequencies(numbered, block)
         block.weigh(df, max(n, 1))
-        _fit(docs, block)
+        _fit(numbered, block)
+        discard(numbered)
     return block
 
 
