@@ -5,11 +5,13 @@ beginnings learned from labels), how near its hits stand to words of the second
 capitals, punctuation, and rates of obfuscated words (digits or signs inside a word, and
 hits found only after undoing them).
 
-The learned lexicon is counted by Spark, once in toxic and once in other rows, over a bounded sample of labelled
-documents (``max_labelled``, of least XXH64 of doc_id; one row a document, that of least
-XXH64 of text); its ``MOST_TERMS`` strongest terms are the model's lexicon.  The sample has two halves; a row's training
-features use the lexicon of the other half, so that the trees see hits as new texts have
-them.  The scores for isotonic calibration come from trees of the other half, too.
+The learned lexicon is counted by Spark, once in toxic and once in other rows, over all labelled
+documents (one row a document, that of least XXH64 of text; ``max_labelled`` bounds them where it
+is asked for, to those of least XXH64 of doc_id); its ``MOST_TERMS`` strongest terms are the
+model's lexicon.  The rows have two halves; a row's training features use the lexicon of the
+other half, so that the trees see hits as new texts have them.  The scores for isotonic
+calibration come from trees of the other half, too.  Up to ``MOST_HELD`` rows the driver holds
+the features and fits; beyond that Spark does, in passes over all rows (``boosted``).
 
 Only documents whose crc32(doc_id as text) mod 3 is not 1 give labels; labels, lang, source
 and doc_id are no inputs of a score.
@@ -34,9 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillgraph.llm.common import Memo, map_batches, named, one_a_document, raw_texts, release, saved, small_batches
+from quillgraph.llm.boosted import Trees, fit_halves, isotonic, isotonic_table
+from quillgraph.llm.common import Memo, discard, map_batches, named, one_a_document, raw_texts, release, saved, small_batches
 
-MAX_LABELLED = 12_000
+#: Rows whose features the driver holds, and the most bits that say which terms toxic rows have.
+MOST_HELD, MOST_BITS = 20_000, 1 << 26
 THRESHOLD = 0.7
 MOST_TERMS = 3000
 BEGINNINGS = (4, 5, 6)
@@ -105,106 +109,59 @@ def features(raw: bytes, codes: Memo) -> list[float]:
     return [share(_FIXED), share(_WORD), share(_START), len(hit) / n, float(min(20, len(hit))), share(_HIDDEN), share(_INSIDE), share(_SECOND), near, nearest, share(_CAPITALS), share(_CAPITAL), marks / size, raw.count(b"!") / n, float(min(50, run)), float(np.log1p(n))]
 
 
-class Trees:
-    """Boosted trees for the logistic loss; splits on quantile bins; levels grown as wholes."""
-
-    def __init__(self, rounds: int = 50, depth: int = 3, rate: float = 0.2, bins: int = 32, least: float = 2.0):
-        self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
-        self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-        self.base = float(np.log(p / (1 - p)))
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
-        # rare hits vanish in quantiles: the values above the last edge get a few of their own
-        self.edges = [np.unique(np.concatenate([e, np.quantile(c[c > (e[-1] if len(e) else c.min())], [0, 0.25, 0.5, 0.75])])) if (c > (e[-1] if len(e) else c.min())).any() else e for e, c in zip(self.edges, x.T, strict=True)]
-        # an edge is the least value that goes right
-        binned = np.stack([np.searchsorted(e, c, "right") for e, c in zip(self.edges, x.T, strict=True)], axis=1)
-        wide = max(len(e) for e in self.edges) + 1
-        z = np.full(len(y), self.base)
-        for _ in range(self.rounds):
-            q = 1 / (1 + np.exp(-z))
-            g, h = y - q, q * (1 - q)
-            node = np.zeros(len(y), np.int64)
-            inner = (1 << self.depth) - 1
-            feature, edge = np.full(inner, -1), np.zeros(inner)
-            for level in range(self.depth):
-                first, count = (1 << level) - 1, 1 << level
-                local = node - first
-                best = np.full(count, 1e-6)
-                choice: list[tuple[int, int] | None] = [None] * count
-                for f in range(x.shape[1]):
-                    key = local * wide + binned[:, f]
-                    sg = np.bincount(key, g, count * wide).reshape(count, wide).cumsum(1)
-                    sh = np.bincount(key, h, count * wide).reshape(count, wide).cumsum(1)
-                    lg, lh, rg, rh = sg[:, :-1], sh[:, :-1], sg[:, -1:] - sg[:, :-1], sh[:, -1:] - sh[:, :-1]
-                    gain = lg**2 / (lh + 1) + rg**2 / (rh + 1) - sg[:, -1:] ** 2 / (sh[:, -1:] + 1)
-                    gain[(lh < self.least) | (rh < self.least)] = -1
-                    at = gain.argmax(1)
-                    for k in range(count):
-                        if gain[k, at[k]] > best[k]:
-                            best[k], choice[k] = gain[k, at[k]], (f, int(at[k]))
-                right = np.zeros(len(y), bool)
-                for k, c in enumerate(choice):
-                    if c:
-                        feature[first + k], edge[first + k] = c[0], self.edges[c[0]][c[1]]
-                        right |= (local == k) & (binned[:, c[0]] > c[1])
-                node = 2 * node + 1 + right
-            leaf = node - inner
-            value = self.rate * np.bincount(leaf, g, 1 << self.depth) / (np.bincount(leaf, h, 1 << self.depth) + 1)
-            self.trees.append((feature, edge, value))
-            z += value[leaf]
-        return self
-
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        z, rows = np.full(len(x), self.base), np.arange(len(x))
-        for feature, edge, value in self.trees:
-            node = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                f = feature[node]
-                node = 2 * node + 1 + ((f >= 0) & (x[rows, np.maximum(f, 0)] >= edge[node]))
-            z += value[node - len(feature)]
-        return z
-
-
-def isotonic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: scores and non-decreasing probabilities, to interpolate between."""
-    order = np.argsort(z, kind="stable")
-    blocks: list[list[float]] = []  # sum of y, rows, least and greatest score
-    for s, t in zip(z[order], y[order], strict=True):
-        blocks.append([t, 1.0, s, s])
-        while len(blocks) > 1 and (blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1] or blocks[-2][3] == blocks[-1][2]):
-            b = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + b[0], blocks[-1][1] + b[1], blocks[-1][2], b[3]]
-    at, p = [], []
-    for t, n, low, high in blocks:
-        q = (t + 0.05) / (n + 0.1)
-        at += [low, high] if high > low else [low]
-        p += [q, q] if high > low else [q]
-    return np.array(at), np.maximum.accumulate(np.array(p))
-
-
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
-def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """doc_id, text, y, half of at most so many labelled documents that are not held out."""
-    y = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y"))
-    mine = y.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    chosen = mine.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
-    return saved(one_a_document(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "y", "half"), "toxic-sample")
+def _sample(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, text, y, half of the labelled documents that are not held out (of so many at most)."""
+    shared = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    mine = labels.where(F.col("toxic").isin(0, 1) & shared).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y"))
+    if most is not None:
+        mine = mine.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = mine.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
+    return saved(one_a_document(docs.where(shared).select("doc_id", "text")).join(chosen, "doc_id"), "toxic-rows")
 
 
 #: Terms that a task counts before it sends the counts on.
 GATHER = 50_000
 
 
-def _counts(rows: DataFrame, least: int, wanted: frozenset | None = None) -> dict[str, tuple[int, int]]:
-    """In how many rows of either half a term is, for terms (of the wanted) in so many rows at least.
+class Bits:
+    """Holds every term that was put in, and by chance some others."""
 
-    The rows are a bounded sample, and so is what comes to the driver.
-    """
+    def __init__(self, table: np.ndarray):
+        self.table, self.last = table, 8 * len(table) - 1
+
+    def place(self, term: str) -> int:
+        return xxhash.xxh3_64_intdigest(term.encode()) & self.last
+
+    def __contains__(self, term: str) -> bool:
+        k = self.place(term)
+        return bool(self.table[k >> 3] >> (k & 7) & 1)
+
+
+def _bits(terms: DataFrame) -> Bits:
+    """The terms as bits, 64 a term or ``MOST_BITS`` in all."""
+    size = min(MOST_BITS, 1 << (64 * terms.count() + 64).bit_length()) // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Bits(np.zeros(size, np.uint8))
+        for batch in batches:
+            for term in batch.column(0).to_pylist():
+                k = own.place(term)
+                own.table[k >> 3] |= 1 << (k & 7)
+        yield pa.record_batch([pa.array([own.table.tobytes()], pa.binary())], ["bits"])
+
+    out = Bits(np.zeros(size, np.uint8))
+    # a table a task, one after the other
+    for r in terms.select("term").mapInArrow(run, "bits binary").toLocalIterator():
+        out.table |= np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _counted(rows: DataFrame, least: int, wanted: frozenset | Bits | None = None) -> DataFrame:
+    """term, n0, n1: in how many rows of either half a term is, for terms (of the wanted) in so many rows at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(lambda w: [t for t in terms(w.decode("utf-8", "replace")) if wanted is None or t in wanted], most=40_000)
@@ -230,56 +187,85 @@ def _counts(rows: DataFrame, least: int, wanted: frozenset | None = None) -> dic
 
     small_batches(rows.sparkSession)
     counted = rows.select("text", "half").mapInArrow(run, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    return {r.term: (r.n0, r.n1) for r in counted.where(F.col("n0") + F.col("n1") >= least).collect()}
+    return counted.where(F.col("n0") + F.col("n1") >= least)
+
+
+def _counts(rows: DataFrame, least: int, wanted: frozenset | None = None) -> dict[str, tuple[int, int]]:
+    """The same in the driver, for few rows."""
+    return {r.term: (r.n0, r.n1) for r in _counted(rows, least, wanted).collect()}
 
 
 def _lexicons(sample: DataFrame) -> list[frozenset]:
     """Learned terms of half 0, of half 1, and of both: frequent in toxic rows, rare in others.
 
-    Terms are counted in toxic rows first, and in the others those alone that may be chosen.
+    Terms are counted in toxic rows first, and in the others those alone that may be chosen
+    (and a few by chance, which the join drops).
     """
-    toxic = _counts(sample.where("y > 0.5"), 3)
-    clean = _counts(sample.where("y < 0.5"), 1, frozenset(toxic)) if toxic else {}
+    toxic = saved(_counted(sample.where("y > 0.5"), 3), "toxic-terms")
+    clean = _counted(sample.where("y < 0.5"), 1, _bits(toxic)).toDF("term", "c0", "c1")
+    both = saved(toxic.join(clean, "term", "left").na.fill(0, ["c0", "c1"]), "toxic-lifts")
     sizes = {(r.half, r.y): r["count"] for r in sample.groupBy("half", "y").count().collect()}
     out = []
     for use in ((0,), (1,), (0, 1)):
-        of = lambda counts: sum(counts[h] for h in use)  # noqa: E731, B023
         n_toxic, n_clean = (sum(sizes.get((h, y), 0) for h in use) for y in (1.0, 0.0))
-        found = []
-        for term, counts in toxic.items():
-            t = of(counts)
-            lift = t / max(n_toxic, 1) / ((of(clean.get(term, (0, 0))) + 0.5) / (n_clean + 1))
-            if t >= 3 and lift >= 8:
-                found.append((-t, -lift, term))
-        out.append(frozenset(term for *_, term in sorted(found)[:MOST_TERMS]))
+        t, c = (sum((F.col(f"{kind}{h}") for h in use), F.lit(0)) for kind in "nc")
+        lift = t / max(n_toxic, 1) / ((c + 0.5) / (n_clean + 1))
+        found = both.select("term", t.alias("t"), lift.alias("lift")).where("t >= 3 and lift >= 8")
+        out.append(frozenset(r.term for r in found.orderBy(F.desc("t"), F.desc("lift"), "term").limit(MOST_TERMS).collect()))
+    discard(toxic)
+    discard(both)
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict | None:
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int | None = None) -> dict | None:
     sample = _sample(docs, labels, max_labelled)
     lexicons = _lexicons(sample)
+    columns = [f"x{k}" for k in range(len(NAMES))]
 
     def make():
         codes = [Memo(lambda w, k=k: word_code(w, lexicons[k]), most=60_000) for k in (0, 1)]
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = [np.array(features(raw, codes[1 - half])).tobytes() for raw, half in zip(raw_texts(batch), batch.column(3).to_pylist(), strict=True)]
-            return pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(x, pa.binary())], ["doc_id", "y", "half", "x"])
+            x = np.array([features(raw, codes[1 - half]) for raw, half in zip(raw_texts(batch), batch.column(3).to_pylist(), strict=True)])
+            return pa.record_batch([batch.column(0), batch.column(2), batch.column(3), *map(pa.array, x.T)], ["doc_id", "y", "half", *columns])
 
         return run
 
-    rows = map_batches(sample.select("doc_id", "text", "y", "half"), "doc_id long, y double, half int, x binary", make).collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    y, half = np.array([r.y for r in rows]), np.array([r.half for r in rows])
-    if not len(y) or not 0 < y.sum() < len(y):
+    schema = "doc_id long, y double, half int, " + ", ".join(f"{c} double" for c in columns)
+    rows = saved(map_batches(sample.select("doc_id", "text", "y", "half"), schema, make), "toxic-features")
+    discard(sample)
+    model = _fitted(rows, columns)
+    discard(rows)
+    return None if model is None else model | {"lexicon": lexicons[2]}
+
+
+def _fitted(rows: DataFrame, columns: list[str]) -> dict | None:
+    """Trees of all rows, and steps of the scores that trees of the other half give."""
+    sizes = {r.half: (r.n, r.t) for r in rows.groupBy("half").agg(F.count("*").alias("n"), F.sum("y").alias("t")).collect()}
+    n, toxic = (sum(x) for x in zip((0, 0), *sizes.values(), strict=True))
+    if not 0 < toxic < n:
         return None
-    x = np.stack([np.frombuffer(r.x) for r in rows])
-    z = np.zeros(len(y))
+    if n > MOST_HELD and len(sizes) == 2:
+        trees = fit_halves(rows, columns, [sizes[0][1] / sizes[0][0], sizes[1][1] / sizes[1][0], toxic / n])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                y, half, *x = (c.to_numpy() for c in batch.columns)
+                z, x = np.zeros(len(y)), np.column_stack(x)
+                for k in (0, 1):
+                    z[half == k] = trees[1 - k].raw(x[half == k])
+                yield pa.record_batch([pa.array(z), pa.array(y)], ["z", "y"])
+
+        small_batches(rows.sparkSession, 8_192)
+        return {"trees": trees[2], "steps": isotonic_table(rows.select("y", "half", *columns).mapInArrow(run, "z double, y double"))}
+    held = rows.orderBy("doc_id").toArrow()
+    y, half, *x = (held.column(c).to_numpy() for c in ("y", "half", *columns))
+    x, z = np.column_stack(x), np.zeros(len(y))
     for k in (0, 1):
         mine, other = half == k, half != k
         if other.any() and mine.any():
             z[mine] = Trees().fit(x[other], y[other]).raw(x[mine])
-    return {"trees": Trees().fit(x, y), "steps": isotonic(z, y), "lexicon": lexicons[2]}
+    return {"trees": Trees().fit(x, y), "steps": isotonic(z, y)}
 
 
 def score(docs: DataFrame, model: dict | None, columns: list[str], threshold: float = THRESHOLD, name: str = "score") -> DataFrame:
