@@ -22,7 +22,9 @@ and gives no rows; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import json
+import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -158,10 +159,10 @@ class ShardReader:
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPLIT = [{"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
-#: What the pre-tokeniser takes apart, for words that the fast way may treat.
-_PIECES = regex.compile(_PATTERN)
+#: Behind the last letter of a piece in the vocabulary.
+_END = "</w>"
 #: White space inside a word, special tokens, letters that change under normalisation.
-_SLOW = regex.compile("[\x1c-\x1f\x85\xa0\u0130\u0300-\U0010ffff]|<\\|")
+_SLOW = "[\x1c-\x1f\x85\xa0\u0130\u0300-\U0010ffff]|<\\|"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -172,12 +173,53 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+#: By code point below 768: what the pattern takes for a letter or a number.
+_OTHER, _LETTER, _NUMBER = 0, 1, 2
+_KINDS = np.array([{"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x300)], np.uint8)
 
 
 def _little(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _offsets(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+
+
+def _joined(column: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Runs of values of a column of large_binary, each as one value; ends: of the runs, in values, from 0 on."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(_offsets(column)[ends]), column.buffers()[2]])
+
+
+def _cut(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What ``_PATTERN`` finds in the lower-cased words (large_string, white space and code points from 768 on in none), not yet lower-cased, and where each word ends, in pieces, from 0 on.
+
+    Every character is of a piece: a number is one, letters and others are so in runs; but an
+    apostrophe that begins a run goes with the letters of 's and the like behind it.
+    """
+    at = _offsets(words)
+    first, at, data = at[0], at - at[0], words.buffers()[2] or pa.py_buffer(b"")
+    b = np.frombuffer(data, np.uint8)[first : first + at[-1]]
+    kind, lead = _KINDS[b], np.flatnonzero(b >= 0xC0)
+    kind[lead] = kind[lead + 1] = _KINDS[(b[lead] & 0x1F).astype(np.int64) << 6 | b[lead + 1] & 0x3F]
+    cuts = np.ones(len(b) + 1, bool)
+    cuts[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+    cuts[lead + 1] = False
+    cuts[at] = True
+    marks = np.flatnonzero((b == ord("'")) & cuts[:-1])
+    if len(marks):
+        ends, low = np.zeros(len(b) + 3, bool), np.append(b, np.zeros(3, np.uint8)) | 0x20
+        ends[at] = True
+        x, y = low[marks + 1].astype(np.int64), low[marks + 2]
+        two = np.isin(x << 8 | y, [0x7265, 0x7665, 0x6C6C]) & ~ends[marks + 2]  # re, ve, ll
+        size = np.where(np.isin(x, list(b"stmd")), 2, np.where(two, 3, 0)) * ~ends[marks + 1]
+        marks, size = marks[size > 0], size[size > 0]
+        cuts[marks + 1] = False
+        cuts[marks + size] = True
+    places = np.flatnonzero(cuts)
+    return pa.Array.from_buffers(pa.large_string(), len(places) - 1, [None, pa.py_buffer(places + first), data]), np.searchsorted(places, at)
+
+
 class WordEncoder:
     """Ids of whole texts by the library, which sees each piece of a word once.
 
@@ -189,37 +231,78 @@ class WordEncoder:
     tokens are of another kind, whole texts go to the whole tokeniser.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.t = Tokenizer.from_file(path)
-        self.model = self.t.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        model = spec["model"]
         self.fast = (
             (spec.get("normalizer") or {}).get("normalizers") == _NORMALISER
             and (spec.get("pre_tokenizer") or {}).get("pretokenizers") == _SPLIT
-            and spec["model"]["type"] == "BPE"
+            and model["type"] == "BPE"
+            and not model.get("dropout")
+            and not model.get("continuing_subword_prefix")
+            and model.get("end_of_word_suffix") == _END
+            and all(x in model["vocab"] for c in _LETTERS.values() for x in (c, c + _END))
             and not spec.get("truncation")
             and all("<|" in a["content"] and not a["single_word"] and not a["lstrip"] and not a["rstrip"] for a in spec.get("added_tokens") or [])
         )
-        self.pieces = Memo(self._piece, most=1_200_000)
-        self.words = Memo(self._word, most=1_600_000)
+        if not self.fast:
+            return
+        self.pieces_only = Tokenizer(self.t.model)
+        self.pieces_only.pre_tokenizer = Split(" ", "removed")
+        self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.last[[k for x, k in model["vocab"].items() if x.endswith(_END)]] = True
+        self.slow_words = Memo(self._library)
+        # pieces in two generations, as in Memo, but looked up and added a batch at a time
+        self.half, self.longest, self.young, self.old = most // 2, 64, {}, {}
 
     def _library(self, text: str) -> bytes:
         return _little(self.t.encode(text, add_special_tokens=False).ids)
 
-    def _piece(self, piece: str) -> bytes:
-        letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_LETTERS)
-        return _little([k.id for k in self.model.tokenize(letters)])
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of several pieces, by one call of the library's model.
 
-    def _word(self, word: bytes) -> bytes:
-        if word.isalpha():  # of bytes: letters of ASCII alone, one piece
-            return self.pieces[word.decode().lower()]
-        w = word.decode()
-        if (not word.isascii() or b"<|" in word or not w.isprintable()) and _SLOW.search(w):
-            return self._library(w)
-        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(w.lower())))
+        A piece has no space, and no ``_END`` either (its brackets and its letter are never in
+        one piece), so the model's ids of a last letter end each piece.
+        """
+        letters = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_LETTERS) for p in pieces]
+        ids = np.array(self.pieces_only.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(0, np.flatnonzero(self.last[ids]) + 1) * 4
+        if len(ends) != len(pieces) + 1 or ends[-1] != 4 * len(ids):
+            raise ValueError("the model does not end each piece as its file says")
+        return pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(ends), pa.py_buffer(ids)]).to_numpy(zero_copy_only=False).tolist()
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of several different pieces."""
+        found = list(map(self.young.get, pieces))
+        missed = [k for k, ids in enumerate(found) if ids is None]
+        for k in missed:
+            found[k] = self.old.get(pieces[k])
+        new = [k for k in missed if found[k] is None]
+        if new:
+            for k, ids in zip(new, self._new([pieces[k] for k in new]), strict=True):
+                found[k] = ids
+        if len(self.young) + len(missed) > self.half:
+            self.old, self.young = self.young, {}
+        self.young |= {pieces[k]: found[k] for k in missed if len(pieces[k]) <= self.longest}
+        return found
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of each of several different words (large_string)."""
+        slow = pc.match_substring_regex(words, _SLOW)
+        cut, ends = _cut(words.filter(pc.invert(slow)))
+        pieces = pc.utf8_lower(cut).dictionary_encode()
+        known = pa.array(self._pieces(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        by_piece = _joined(known.take(pieces.indices), ends)
+        by_library = pa.array([self.slow_words[w] for w in words.filter(slow).to_pylist()], pa.large_binary())
+        slow = slow.to_numpy(zero_copy_only=False)
+        place = np.where(slow, len(by_piece) + np.cumsum(slow) - 1, np.cumsum(~slow) - 1)
+        return pa.concat_arrays([by_piece, by_library]).take(pa.array(place))
 
     def __call__(self, text: str) -> bytes:
         return next(self.encode(pa.array([text], pa.string())))
@@ -227,8 +310,9 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text of a column (null: empty).
 
-        Arrow splits the texts and numbers their words, so that each word of the column is
-        looked up once; numpy puts the ids in their places.
+        Arrow splits the texts and numbers their words, cuts the different words into pieces and
+        numbers these, so that each piece of the column is looked up once, and puts the ids in
+        their places.
         """
         texts = texts.fill_null("")
         if not self.fast:
@@ -237,15 +321,9 @@ class WordEncoder:
         # an empty word may stand at either end of a text; it has no ids
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        found = list(map(self.words.__getitem__, words.dictionary.cast(pa.binary()).to_pylist()))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids, first, which = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, words.indices.to_numpy()
-        n = sizes[which]
-        ends = np.append(0, np.cumsum(n))
-        ids = ids[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])]
-        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            yield ids[a:b].tobytes()
+        found = self._words(words.dictionary.cast(pa.large_string())).take(words.indices)
+        for ids in _joined(found, split.offsets.to_numpy() - split.offsets[0].as_py()):
+            yield ids.as_py()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

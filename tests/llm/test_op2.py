@@ -1,8 +1,10 @@
 import io
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from quillgraph.llm.token_planes import ShardReader, ShardWriter, WordEncoder, from_planes, read_shards, to_planes, write_shards
@@ -37,6 +39,40 @@ def test_words_are_the_text():
         assert np.frombuffer(e(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_are_those_of_the_library():
+    t, e = Tokenizer.from_file(PATH), WordEncoder(PATH)
+    letters = [chr(c) for c in range(1, 0x310)]
+    ends = ["'s", "'T", "'re", "'vE", "'m", "'LL", "'d", "'r", "'l", "'", "''s", "'s's", "'resolve", "'sé", "'²", "a'", "-'s", "é'S", "'ſ", "12'm3", "</w>", "'\u00ad"]
+    texts = [*letters, *("a" + c + "B" for c in letters), *("1" + c + c + "." for c in letters), *ends, *("Word" + x for x in ends), " ".join(ends), "' s 'r e", None, "", "x" * 100 + " " + "x" * 100]
+    rnd = np.random.default_rng(3)
+    some = [*"aZ1.'<|>_ \n\0éµ½Ⱥſ\u0130\u0301漢", "'s", "'LL", "re"]
+    texts += ["".join(some[k] for k in rnd.integers(0, len(some), n)) for n in rnd.integers(1, 30, 3000)]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    column = pa.array(["left out", *texts], pa.string()).slice(1)
+    small = WordEncoder(PATH, most=100)  # generations come and go
+    for _ in range(2):  # new pieces, then known ones
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(column)] == want
+        assert [np.frombuffer(x, "<u4").tolist() for k in range(0, len(column), 50) for x in small.encode(column.slice(k, 50))] == want
+    assert list(e.encode(column.slice(0, 0))) == []
+
+
+def test_new_words_cost_no_call_each():
+    e = WordEncoder(PATH)
+    list(e.encode(pa.array(["a first text, that isn't counted"])))
+    column, calls = pa.array([" ".join(f"x{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100 % 10]}{'efghijklmn'[k // 1000]}," for k in range(5000))]), 0
+
+    def count(_frame, event, _arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        list(e.encode(column))
+    finally:
+        sys.setprofile(None)
+    assert calls < 1000
+
+
 def test_other_files_are_not_taken_for_this_one(tmp_path):
     import json
 
