@@ -11,6 +11,8 @@ column and by numpy, and what belongs to a text is a sum over a stretch.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,21 +28,29 @@ _GRAM = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F1
 
 
 class Words:
-    """The words of a column of texts: ``words`` (different ones), ``which`` (their numbers, in
-    order) and ``offsets`` (where each text begins in ``which``)."""
+    """The words of a column of texts: ``different`` (as a column; ``words`` as a list), ``which``
+    (their numbers, in order) and ``offsets`` (where each text begins in ``which``)."""
 
     def __init__(self, texts: pa.Array):
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = split.flatten().dictionary_encode()
-        self.words: list[bytes] = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.different = coded.dictionary
         which, offsets = coded.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy() - split.offsets[0].as_py()
-        if b"" in self.words:  # at the ends of texts
-            real = which != self.words.index(b"")
+        nothing = pc.index(self.different, "").as_py()
+        if nothing >= 0:  # at the ends of texts
+            real = which != nothing
             which, offsets = which[real], np.append(0, np.cumsum(real))[offsets]
         self.which, self.offsets = which, offsets
-        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
         self.sizes = np.diff(offsets)
 
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.different.cast(pa.binary()).to_pylist()
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+
     def sums(self, values: np.ndarray) -> np.ndarray:
         """By text: the sum of a value of each of its words, in their order."""
         out = np.zeros(len(self.sizes), values.dtype)

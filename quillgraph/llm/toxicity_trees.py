@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillgraph.llm.boosted import Trees, fit_halves, isotonic, isotonic_table
 from quillgraph.llm.common import Memo, discard, map_batches, named, one_a_document, raw_texts, release, saved, small_batches
+from quillgraph.llm.hashed_text import Words
 
 #: Rows whose features the driver holds, and the most bits that say which terms toxic rows have.
 MOST_HELD, MOST_BITS = 20_000, 1 << 26
@@ -89,24 +91,90 @@ def word_code(raw: bytes, lexicon: frozenset) -> int:
     return code
 
 
-def features(raw: bytes, codes: Memo) -> list[float]:
-    words = raw.split()
-    n = len(words)
-    if not n:
-        return [0.0] * len(NAMES)
-    c = np.fromiter(map(codes.__getitem__, words), np.uint8, n)
-    share = lambda bit: float(np.count_nonzero(c & bit)) / n
-    hit = np.flatnonzero(c & (_FIXED | _WORD | _START | _HIDDEN))
-    second = np.flatnonzero(c & _SECOND)
-    near, nearest = 0.0, 50.0
-    if len(hit) and len(second):
+#: Code points that Arrow strips, lower-cases and classes as Python does, as UTF-8.
+_PLAIN = r"^(?:[\x00-\x7f]|\xc2[\x80-\xa9\xab-\xb9\xbb-\xbf]|[\xc3\xc5-\xc9][\x80-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xca[\x80-\xaf])*$"
+_SIGNS = "".join(c for c in map(chr, range(0x2B0)) if not c.isalnum())
+
+
+class Bare:
+    """A column of words without signs at their ends: ``bare`` and, lower-cased, ``lower`` of the
+    plain ones (at ``plain``); the others (at ``rest``) are for ``word_code`` and ``terms``."""
+
+    def __init__(self, words: pa.Array):
+        raw = words.cast(pa.binary())
+        plain = pc.and_(pc.less_equal(pc.binary_length(raw), 60), pc.match_substring_regex(raw, _PLAIN))
+        self.words, self.raw, self.n = words, raw, len(words)
+        self.plain, self.rest = np.flatnonzero(plain), np.flatnonzero(pc.invert(plain))
+        self.bare = pc.utf8_trim(words.filter(plain), _SIGNS)
+        self.lower = pc.utf8_lower(self.bare)
+
+    def whole(self) -> pa.Array:
+        """As ``whole``, null for the empty word."""
+        return pc.if_else(pc.equal(self.lower, ""), None, pc.binary_join_element_wise("=", self.lower, ""))
+
+    def beginning(self, k: int) -> pa.Array:
+        """The first k letters, null where there are fewer."""
+        return pc.if_else(pc.greater_equal(pc.utf8_length(self.lower), k), pc.utf8_slice_codeunits(self.lower, 0, k), None)
+
+
+class Coder:
+    """``word_code`` of each word of a column: letters alone by Arrow, others one by one."""
+
+    def __init__(self, lexicon: frozenset, most: int):
+        self.lexicon, self.insults, self.second = (pa.array(sorted(s), pa.string()) for s in (lexicon, INSULTS, SECOND))
+        self.memo = Memo(lambda w: word_code(w, lexicon), most)
+
+    def __call__(self, b: Bare) -> np.ndarray:
+        capitals = pc.and_(pc.utf8_is_upper(b.bare), pc.greater(pc.utf8_length(b.bare), 1))
+        found = [
+            (_FIXED, pc.is_in(b.lower, value_set=self.insults)),
+            (_WORD, pc.is_in(b.whole(), value_set=self.lexicon)),
+            *((_START, pc.is_in(b.beginning(k), value_set=self.lexicon)) for k in BEGINNINGS),
+            (_SECOND, pc.is_in(b.lower, value_set=self.second)),
+            (_CAPITALS, capitals),
+            (_CAPITAL, pc.and_not(pc.utf8_is_upper(pc.utf8_slice_codeunits(b.bare, 0, 1)), capitals)),
+        ]
+        codes = np.zeros(len(b.plain), np.uint8)
+        for bit, has in found:
+            codes |= has.to_numpy(zero_copy_only=False) * np.uint8(bit)
+        out = np.zeros(b.n, np.uint8)
+        out[b.plain] = codes
+        # digits and signs among letters may hide a hit
+        mixed = pc.invert(pc.or_(pc.utf8_is_alpha(b.lower), pc.equal(b.lower, ""))).to_numpy(zero_copy_only=False)
+        rest = np.append(b.rest, b.plain[mixed])
+        out[rest] = [self.memo[w] for w in b.raw.take(pa.array(rest)).to_pylist()]
+        return out
+
+
+def measured(words: Words, codes: np.ndarray, raws: list[bytes]) -> np.ndarray:
+    """Features of each text (rows, features) from the codes of its words, in their order."""
+    sizes, rows = words.sizes, len(words.sizes)
+    n, row = np.maximum(sizes, 1), np.repeat(np.arange(rows), sizes)
+    share = lambda bit: words.sums(np.sign(codes & bit).astype(np.int64)) / n
+    hit, second = np.flatnonzero(codes & (_FIXED | _WORD | _START | _HIDDEN)), np.flatnonzero(codes & _SECOND)
+    of, hits = row[hit], np.bincount(row[hit], minlength=rows)
+    near, nearest, run = np.zeros(rows), np.full(rows, 50), np.full(rows, 50)
+    if len(second):
         at = np.searchsorted(second, hit)
-        gap = np.minimum(np.abs(hit - second[np.minimum(at, len(second) - 1)]), np.abs(hit - second[np.maximum(at - 1, 0)]))
-        near, nearest = float((gap <= 5).sum()) / n, float(min(50, gap.min()))
-    run = int(np.diff(hit, prepend=-9).min()) if len(hit) > 1 else 50
-    size = max(1, len(raw))
-    marks = size - len(raw.translate(None, b"!?.,;:*#$%&|<>\"'()-"))
-    return [share(_FIXED), share(_WORD), share(_START), len(hit) / n, float(min(20, len(hit))), share(_HIDDEN), share(_INSIDE), share(_SECOND), near, nearest, share(_CAPITALS), share(_CAPITAL), marks / size, raw.count(b"!") / n, float(min(50, run)), float(np.log1p(n))]
+        beside = second[np.minimum(at, len(second) - 1)], second[np.maximum(at - 1, 0)]
+        gap = np.min([np.where(row[s] == of, np.abs(hit - s), 50) for s in beside], axis=0)
+        near = np.bincount(of[gap <= 5], minlength=rows) / n
+        np.minimum.at(nearest, of, gap)
+    # the first hit counts as if one stood nine words before the text
+    new = np.diff(of, prepend=-1) > 0
+    np.minimum.at(run, of, np.where(new, hit - words.offsets[of] + 9, np.diff(hit, prepend=0)))
+    marks = np.array([(len(raw) - len(raw.translate(None, b"!?.,;:*#$%&|<>\"'()-"))) / max(1, len(raw)) for raw in raws])
+    exclaims = np.array([raw.count(b"!") for raw in raws])
+    x = np.column_stack([share(_FIXED), share(_WORD), share(_START), hits / n, np.minimum(20, hits), share(_HIDDEN), share(_INSIDE), share(_SECOND), near, nearest, share(_CAPITALS), share(_CAPITAL), marks, exclaims / n, np.where(hits > 1, run, 50), np.log1p(n)])
+    x[sizes == 0] = 0
+    return x
+
+
+def features(raw: bytes, codes: Memo) -> list[float]:
+    """Features of one text."""
+    words = Words(pa.array([raw], pa.binary()).view(pa.string()))
+    own = np.array([codes[w] for w in words.words], np.uint8)
+    return measured(words, own[words.which], [raw])[0].tolist()
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -123,8 +191,8 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Data
     return saved(one_a_document(docs.where(shared).select("doc_id", "text")).join(chosen, "doc_id"), "toxic-rows")
 
 
-#: Terms that a task counts before it sends the counts on.
-GATHER = 50_000
+#: Terms of batches that a task holds before it sends their counts on.
+GATHER = 400_000
 
 
 class Bits:
@@ -140,6 +208,12 @@ class Bits:
         k = self.place(term)
         return bool(self.table[k >> 3] >> (k & 7) & 1)
 
+    def among(self, terms: pa.Array) -> np.ndarray:
+        """Which of a column of terms it holds."""
+        raw = terms.cast(pa.binary()).to_numpy(zero_copy_only=False)
+        k = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)) & np.uint64(self.last)
+        return (self.table[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
 
 def _bits(terms: DataFrame) -> Bits:
     """The terms as bits, 64 a term or ``MOST_BITS`` in all."""
@@ -160,28 +234,59 @@ def _bits(terms: DataFrame) -> Bits:
     return out
 
 
+def batch_terms(words: Words, memo: Memo) -> tuple[pa.Array, np.ndarray]:
+    """Different terms of a column of texts, and the numbers (kinds, words) of each word's, -1 for none.
+
+    ``memo`` has the terms of words that are not plain.
+    """
+    b, kinds = Bare(words.different), 1 + len(BEGINNINGS)
+    rest = [memo[w] for w in b.raw.take(pa.array(b.rest)).to_pylist()]
+    coded = pa.concat_arrays([b.whole(), *map(b.beginning, BEGINNINGS), pa.array([t for own in rest for t in own], b.lower.type)]).dictionary_encode()
+    numbers = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    out = np.full((kinds, b.n), -1, np.int64)
+    plain = kinds * len(b.plain)
+    out[:, b.plain] = numbers[:plain].reshape(kinds, -1)
+    sizes = np.array([len(own) for own in rest], np.int64)
+    out[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(b.rest, sizes)] = numbers[plain:]
+    return coded.dictionary, out
+
+
+def term_counts(texts: pa.Array, half: np.ndarray, memo: Memo, wanted: frozenset | Bits | None) -> pa.Table:
+    """term, n0, n1 of a column of texts, each text counted once for a term."""
+    words = Words(texts)
+    found, numbers = batch_terms(words, memo)
+    if wanted is not None:
+        has = wanted.among(found) if isinstance(wanted, Bits) else pc.is_in(found, value_set=pa.array(sorted(wanted), found.type)).to_numpy(zero_copy_only=False)
+        # numbers among the wanted; -1 for the others, and for none (the last)
+        numbers = np.append(np.where(has, np.cumsum(has) - 1, -1), -1)[numbers]
+        found = found.filter(pa.array(has))
+    at = np.repeat(np.arange(len(texts)), words.sizes)
+    pairs = [(at * len(found) + n)[n >= 0] for n in (kind[words.which] for kind in numbers)]
+    pairs = np.sort(np.concatenate(pairs))
+    row, term = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], max(1, len(found)))
+    counts = [np.bincount(term[half[row] == h], minlength=len(found)) for h in (0, 1)]
+    return pa.table([found, *map(pa.array, counts)], ["term", "n0", "n1"])
+
+
 def _counted(rows: DataFrame, least: int, wanted: frozenset | Bits | None = None) -> DataFrame:
     """term, n0, n1: in how many rows of either half a term is, for terms (of the wanted) in so many rows at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda w: [t for t in terms(w.decode("utf-8", "replace")) if wanted is None or t in wanted], most=40_000)
-        found: dict[str, list[int]] = {}
+        memo = Memo(lambda w: terms(w.decode("utf-8", "replace")), most=40_000)
+        held: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            names, counts = list(found), np.array(list(found.values()), np.int64).reshape(-1, 2)
-            found.clear()
-            return pa.record_batch([pa.array(names, pa.string()), *(pa.array(c) for c in counts.T)], ["term", "n0", "n1"])
+        def out() -> list[pa.RecordBatch]:
+            sums = pa.concat_tables(held).group_by("term", use_threads=False).aggregate([("n0", "sum"), ("n1", "sum")])
+            held.clear()
+            return sums.rename_columns(["term", "n0", "n1"]).to_batches(GATHER)
 
         for batch in batches:
-            for raw, half in zip(raw_texts(batch), batch.column(1).to_pylist(), strict=True):
-                for t in {t for w in set(raw.split()) for t in memo[w]}:
-                    n = found.get(t)
-                    if n is None:
-                        n = found[t] = [0, 0]
-                    n[half] += 1
-                if len(found) >= GATHER:
-                    yield out()
-        yield out()
+            if batch.num_rows:
+                held.append(term_counts(batch.column(0), batch.column(1).to_numpy(), memo, wanted))
+            if sum(map(len, held)) >= GATHER:
+                yield from out()
+        if held:
+            yield from out()
         del memo
         release()
 
@@ -223,10 +328,13 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int | None = None) -
     columns = [f"x{k}" for k in range(len(NAMES))]
 
     def make():
-        codes = [Memo(lambda w, k=k: word_code(w, lexicons[k]), most=60_000) for k in (0, 1)]
+        coders = [Coder(lexicons[k], most=60_000) for k in (0, 1)]
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = np.array([features(raw, codes[1 - half]) for raw, half in zip(raw_texts(batch), batch.column(3).to_pylist(), strict=True)])
+            words = Words(batch.column(1))
+            bare, half = Bare(words.different), np.repeat(batch.column(3).to_numpy(), words.sizes)
+            codes = np.stack([coders[1 - k](bare) for k in (0, 1)])[half, words.which]
+            x = measured(words, codes, raw_texts(batch))
             return pa.record_batch([batch.column(0), batch.column(2), batch.column(3), *map(pa.array, x.T)], ["doc_id", "y", "half", *columns])
 
         return run
@@ -274,12 +382,14 @@ def score(docs: DataFrame, model: dict | None, columns: list[str], threshold: fl
     wanted = list(dict.fromkeys([*columns, "text"]))
 
     def make():
-        codes = Memo(lambda w: word_code(w, model["lexicon"]), most=200_000) if model else None
+        coder = Coder(model["lexicon"], most=200_000) if model else None
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             s = np.zeros(batch.num_rows)
             if model:
-                s = np.interp(model["trees"].raw(np.array([features(raw, codes) for raw in raw_texts(batch)])), *model["steps"])
+                words = Words(batch.column(batch.schema.get_field_index("text")))
+                x = measured(words, coder(Bare(words.different))[words.which], raw_texts(batch))
+                s = np.interp(model["trees"].raw(x), *model["steps"])
             out = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             return pa.record_batch([*out, pa.array(s)], [*columns, name])
 
