@@ -1,9 +1,12 @@
 """Registered graph queries beside their SQL on small tables with odd rows."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from oracle_check import rows_of
+from quillgraph.operators import vectors
 from quillgraph.plans import queries
 
 PLACES = {
@@ -33,3 +36,35 @@ def both(spark, folder, con, name):
 def test_edited_pages_of_names_that_look_like_junk(spark, tmp_path, name):
     got, want = both(spark, *tables(tmp_path, **PLACES), name)
     assert got == want and want
+
+
+TEXTS = {
+    # a key of two rows, no key, no text, no words, Han, letters that lower case makes, copies
+    "documents": """SELECT doc_id::BIGINT AS doc_id, text FROM (VALUES (1, 'than the heedth of ing'), (1, 'than the rest'), (2, 'the heedth the'), (3, NULL), (4, ''), (5, '! 1 a'),
+        (6, '中文 than the 文'), (7, 'İstanbul Kelvin THE Than'), (8, 'the heedth the'), (9, 'x1 _y than ing of'), (10, 'ing')) t(doc_id, text)""",
+    "benchmark": "SELECT k AS item_id, CASE k WHEN 3 THEN NULL WHEN 4 THEN 'nothing known' ELSE 'the heedth of ' || k || ' than 文 İng' END AS text FROM range(6) t(k)",
+}
+
+
+@pytest.mark.parametrize("name", ["doc_freq", "tfidf_weights", "tfidf_topk", "tfidf_topk_batch", "index_files"])
+def test_index_of_odd_texts(spark, tmp_path, name):
+    got, want = both(spark, *tables(tmp_path, **TEXTS), name)
+    assert got == want and want
+
+
+def test_terms_of_single_texts_are_not_shuffled(spark, monkeypatch):
+    """Each part sends and gets each of its words once: the plan deals out no (key, term)."""
+    monkeypatch.setattr(vectors, "PART_BYTES", 100)
+    rows = spark.range(100).selectExpr("id", "concat('than word', id) as text")
+    plan = vectors.build_index(rows)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "hashpartitioning(key" not in plan and "hashpartitioning(term" in plan
+
+
+def test_best_scores_stay_few():
+    best = vectors.Best(2, 3, 0.0, pa.int64())
+    rnd = np.random.default_rng(1)
+    scores = rnd.random((5000, 2))
+    for i in range(0, 5000, 500):
+        best.add(scores[i : i + 500], pa.array(np.arange(i, i + 500)))
+    q, s, keys = best.cut()
+    assert [keys.to_numpy()[q == j].tolist() for j in (0, 1)] == [np.argsort(-scores[:, j])[:3].tolist() for j in (0, 1)]
