@@ -173,13 +173,15 @@ class Best:
         self.held = [(np.empty(0, np.int64), np.empty(0), pa.array([], kind))]
         self.size = 0
 
-    def add(self, scores: np.ndarray, keys: pa.Array) -> None:
-        """``scores``: a row a key, a column a query."""
-        if len(scores) > self.k:
+    def add(self, scores: np.ndarray, keys: pa.Array, exact=None) -> None:
+        """``scores``: a row a key, a column a query; ``exact`` gives those of some rows and columns anew."""
+        found = scores >= self.least
+        if len(scores) > self.k and np.count_nonzero(found) > 4 * self.k * self.queries:
             at = len(scores) - self.k
             np.maximum(self.least, np.partition(scores, at, axis=0)[at] - NEAR, out=self.least)
-        r, q = np.nonzero(scores >= self.least)
-        self.held.append((q, scores[r, q], keys.take(pa.array(r))))
+            found = scores >= self.least
+        r, q = np.nonzero(found)
+        self.held.append((q, scores[r, q] if exact is None else exact(r, q), keys.take(pa.array(r))))
         self.size += len(r)
         if self.size > max(500_000, 4 * self.k * self.queries):
             self.cut()
@@ -277,8 +279,8 @@ def without_self(hits: DataFrame) -> DataFrame:
     return hits.where("key <> query_id")
 
 
-#: Queries of one block, which is broadcast.
-MOST_QUERIES = 100_000
+#: Queries of one block, and numbers in it at most.
+MOST_QUERIES, MOST_NUMBERS = 100_000, 8_000_000
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", most: int = MOST_QUERIES) -> DataFrame:
@@ -286,24 +288,75 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "
 
     The queries are read in blocks beside all rows: one, or beyond ``most`` queries as many as
     keep a block near that size, dealt by hash of key.  All rows of a query_id share a block, so
-    the ranks of the blocks are those of the whole.
+    the ranks of the blocks are those of the whole.  A task multiplies its rows with a block as
+    matrices, takes the products of the pairs that may be among the first ``k`` again one by one
+    (equal vectors have equal scores), and gives back only these.
     """
     q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("qv")).where("qv is not null")
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).where("v is not null")
-    n = -(-q.count() // most)
-    parts = [q] if n <= 1 else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+    odd = lambda x: F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) > 1e150))
+    shape = lambda df, x: df.agg(F.count(F.lit(1)), F.min(F.size(x)), F.max(F.size(x)), F.coalesce(F.max(odd(x)), F.lit(False))).first()
+    (n, least, largest, q_odd), (m, v_least, v_largest, v_odd) = shape(q, "qv"), shape(rows, "v")
+    whole = bool(n and m and least) and least == largest == v_least == v_largest and not (q_odd or v_odd)
+    blocks = max(-(-n // most), -(-n * largest // MOST_NUMBERS) if whole else 1)
+    parts = [q] if blocks <= 1 else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+    if whole:
+        rows = rows.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, m // 100_000))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.desc("key"))
     out = None
     for part in parts:
-        # each row meets the block of queries as one array
-        block = part.agg(F.collect_list(F.struct("query_id", "qv")).alias("block"))
-        pairs = rows.join(F.broadcast(block), F.lit(True)).select("key", "v", F.explode("block").alias("q"))
-        scored = pairs.select(F.col("q.query_id").alias("query_id"), "key", dense_cosine(F.col("q.qv"), F.col("v")).alias("score"))
-        w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.desc("key"))
+        scored = _multiplied(rows, part, k) if whole else _paired(rows, part)
         best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
     return out
 
 
+def _paired(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """All scores; each row meets the block of queries as one array.  For vectors of several lengths or without numbers."""
+    block = queries.agg(F.collect_list(F.struct("query_id", "qv")).alias("block"))
+    pairs = rows.join(F.broadcast(block), F.lit(True)).select("key", "v", F.explode("block").alias("q"))
+    return pairs.select(F.col("q.query_id").alias("query_id"), "key", dense_cosine(F.col("q.qv"), F.col("v")).alias("score"))
+
+
+def _matrix(lists: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and their clipped norms."""
+    m = lists.flatten().to_numpy().astype(float).reshape(n, -1)
+    return m, np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-10)
+
+
+def _multiplied(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Of each task and query the first ``k`` scores and their equals."""
+    kind, asked = rows.schema["key"].dataType, queries.schema["query_id"].dataType
+    schema = f"query_id {asked.simpleString()}, key {kind.simpleString()}, score double"
+    block = queries.toArrow().combine_chunks().to_batches()
+    if not block:
+        return rows.sparkSession.createDataFrame([], schema)
+    shared = rows.sparkSession.sparkContext.broadcast(block[0])
+    key_type = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked_for = shared.value
+        q, qn = _matrix(asked_for.column("qv"), asked_for.num_rows)
+        unit = (q / qn[:, None]).T
+        best, step = Best(len(q), k, -np.inf, key_type), max(1, MOST_PRODUCTS // len(q))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, norm = _matrix(batch.column("v"), batch.num_rows)
+            for i in range(0, len(v), step):
+                some, n = v[i : i + step], norm[i : i + step]
+
+                def exact(r, c, some=some, n=n):
+                    at = range(0, len(r), BATCH)
+                    return np.concatenate([(some[r[j : j + BATCH]] * q[c[j : j + BATCH]]).sum(axis=1) / (qn[c[j : j + BATCH]] * n[r[j : j + BATCH]]) for j in at]) if len(r) else np.empty(0)
+
+                best.add((some / n[:, None]) @ unit, batch.column("key").slice(i, step), exact)
+        c, s, keys = best.cut()
+        yield pa.record_batch([asked_for.column("query_id").take(pa.array(c)), keys, pa.array(s)], ["query_id", "key", "score"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def needs_rebuild(stored: DataFrame, chunks: DataFrame) -> DataFrame:
     """V5: one row, stale: another number of chunks, or another (id, text) at some place (ord)."""
     a = stored.select("ord", F.struct("id", "text").alias("a"))

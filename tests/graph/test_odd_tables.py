@@ -68,3 +68,23 @@ def test_best_scores_stay_few():
         best.add(scores[i : i + 500], pa.array(np.arange(i, i + 500)))
     q, s, keys = best.cut()
     assert [keys.to_numpy()[q == j].tolist() for j in (0, 1)] == [np.argsort(-scores[:, j])[:3].tolist() for j in (0, 1)]
+
+
+VECTORS = {"embeddings": """SELECT CASE WHEN k = 41 THEN 40 ELSE k END AS vec_id, CASE WHEN k = 7 THEN NULL WHEN k % 3 = 0 THEN [0.1, 0.7, 0.2]::FLOAT[] WHEN k = 20 THEN [0, 0, 0]::FLOAT[]
+    ELSE [sin(k), cos(3 * k), sin(7 * k)]::FLOAT[] END AS embedding FROM range(60) t(k)"""}
+
+
+def test_dense_top_k_of_copies_makes_no_pairs(spark, tmp_path):
+    """A third of the vectors are one, one is null and one zero, a key has two rows; no row meets all queries in Spark."""
+    folder, con = tables(tmp_path, **VECTORS)
+    con.execute("CREATE OR REPLACE VIEW embeddings AS SELECT * FROM read_parquet('" + folder + "/embeddings.parquet') WHERE embedding IS NOT NULL")
+    df = queries.QUERIES["dense_topk"](spark, folder)
+    got = sorted((r.query_id, r.rank, r.key, r.score) for r in df.collect())
+    e = [(i, v) for i, v in con.execute("SELECT vec_id, embedding FROM embeddings").fetchall()]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (max(sum(x * x for x in a) ** 0.5, 1e-10) * max(sum(x * x for x in b) ** 0.5, 1e-10))
+    want = []
+    for of in {i for i, _ in e if i % 20 == 0}:
+        pairs = sorted(((round(cos(a, v), 12), i) for j, a in e if j == of for i, v in e), reverse=True)[:5]
+        want += [(of, n + 1, i, round(s, 6)) for n, (s, i) in enumerate(pairs)]
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, sorted(want), strict=True))
+    assert "BroadcastNestedLoopJoin" not in df._jdf.queryExecution().executedPlan().toString()
