@@ -1,12 +1,14 @@
 """Registered graph queries beside their SQL on small tables with odd rows."""
 
+import random
+
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from oracle_check import rows_of
-from quillgraph.operators import vectors
+from quillgraph.operators import centrality, vectors
 from quillgraph.plans import queries
 
 PLACES = {
@@ -88,3 +90,15 @@ def test_dense_top_k_of_copies_makes_no_pairs(spark, tmp_path):
         want += [(of, n + 1, i, round(s, 6)) for n, (s, i) in enumerate(pairs)]
     assert [x[:3] for x in got] == [x[:3] for x in sorted(want)] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, sorted(want), strict=True))
     assert "BroadcastNestedLoopJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_betweenness_by_joins(spark, blocks):
+    """Beyond the edges that each worker may hold: cycles, loops, several shortest paths, many distances."""
+    rnd = random.Random(blocks)
+    pairs = {(f"n{rnd.randrange(14)}", f"n{rnd.randrange(14)}") for _ in range(26)} | {(f"n{i}", f"n{i + 1}") for i in range(13, 18)} | {("n3", "n3"), ("x", "n0")}
+    edges = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in sorted({y for p in pairs for y in p} | {"alone"})], "name string")
+    whole = {r.name: round(r.betweenness, 12) for r in centrality.betweenness(nodes, edges).collect()}
+    got = {r.name: round(r.betweenness, 12) for r in centrality.betweenness(nodes, edges, most_edges=5, most_begun=-(-len(pairs) // blocks)).collect()}
+    assert got == whole and max(whole.values()) > 0.1 and whole["alone"] == 0
