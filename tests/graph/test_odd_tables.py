@@ -102,3 +102,10 @@ def test_betweenness_by_joins(spark, blocks):
     whole = {r.name: round(r.betweenness, 12) for r in centrality.betweenness(nodes, edges).collect()}
     got = {r.name: round(r.betweenness, 12) for r in centrality.betweenness(nodes, edges, most_edges=5, most_begun=-(-len(pairs) // blocks)).collect()}
     assert got == whole and max(whole.values()) > 0.1 and whole["alone"] == 0
+
+
+def test_scanned_files_of_odd_texts(spark, tmp_path):
+    """Blank and missing texts count, and so do languages of any name, blank and missing ones."""
+    made = "SELECT * FROM (VALUES ('en', 'a'), ('en', ''), ('en', NULL), ('a/b: %c=', chr(10)), ('a/b: %c=', 'ä' || chr(10) || chr(13) || chr(10)), ('', 'x'), (NULL, 'yy'), ('de', NULL)) t(lang, text)"
+    got, want = both(spark, *tables(tmp_path, documents=made), "scanned_files")
+    assert got == want and len(want) == 5
