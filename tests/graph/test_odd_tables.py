@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from oracle_check import rows_of
-from quillgraph.operators import centrality, vectors
+from quillgraph.operators import centrality, paths, vectors
 from quillgraph.plans import queries
 
 PLACES = {
@@ -109,3 +109,17 @@ def test_scanned_files_of_odd_texts(spark, tmp_path):
     made = "SELECT * FROM (VALUES ('en', 'a'), ('en', ''), ('en', NULL), ('a/b: %c=', chr(10)), ('a/b: %c=', 'ä' || chr(10) || chr(13) || chr(10)), ('', 'x'), (NULL, 'yy'), ('de', NULL)) t(lang, text)"
     got, want = both(spark, *tables(tmp_path, documents=made), "scanned_files")
     assert got == want and len(want) == 5
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_transitive_shuffles_lists_of_numbers(spark, monkeypatch, few):
+    """Loops, cycles, doubled edges, a hub longer than a list; names of pairs are not shuffled."""
+    monkeypatch.setattr(paths, "MOST_IDS", 4)
+    rnd = random.Random(5)
+    pairs = [(f"n{rnd.randrange(30)}", f"n{rnd.randrange(30)}") for _ in range(90)] + [("hub", f"n{i}") for i in range(20)] + [("n1", "hub"), ("n1", "n1"), ("n2", "n3"), ("n2", "n3")]
+    df = paths.transitive(spark.createDataFrame(pairs, "src string, dst string"), most_names=100 if few else 3)
+    e = set(pairs)
+    want = {(a, d) for a, b in e for c, d in e if b == c and a != d and a != b and c != d and (a, d) not in e}
+    got = [(r.subject, r.object) for r in df.collect()]
+    assert sorted(got) == sorted(want)
+    assert "hashpartitioning(subject" not in df._jdf.queryExecution().executedPlan().toString()
