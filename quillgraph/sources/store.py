@@ -181,12 +181,32 @@ def cypher(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _ordered(n, e)
 
 
+_ATTRIBUTES = r"""(?:\s+[^\s=>/]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*"""
+
+
+def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """The elements of a kind in a file, parsed one by one; kinds do not nest.
+
+    Records of text end where an element closes, so that many tasks share a file.  A record holds
+    elements without content, and at its end the beginning of one with content.  Where a comment
+    or such could hold such an end, one task reads the file.
+    """
+    pieces = spark.read.option("lineSep", ">").text(path)
+    if not pieces.where(F.col("value").contains("<!")).isEmpty():
+        return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    records = spark.read.option("lineSep", f"</{tag}>").text(path)
+    empty = F.regexp_extract_all("value", F.lit(rf"<{tag}{_ATTRIBUTES}/>"), F.lit(0))
+    opened = F.regexp_extract("value", rf"(?s)<{tag}{_ATTRIBUTES}>(?!.*<{tag}[\s>]).*$", 0)
+    full = F.when(opened != "", F.array(F.concat(opened, F.lit(f"</{tag}>")))).otherwise(F.array().cast("array<string>"))
+    return records.select(F.explode(F.concat(empty, full)).alias("x")).select(F.from_xml("x", schema, {"rowTag": tag}).alias("e")).select("e.*")
+
+
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Types are restored from their rendered form."""
     data = "data array<struct<_key:string,_VALUE:string>>"
     value = lambda k: F.get(F.transform(F.filter("data", lambda d: d["_key"] == k), lambda d: d["_VALUE"]), F.lit(0))
-    n = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, {data}").load(path)
-    e = spark.read.format("xml").option("rowTag", "edge").schema(f"_source string, _target string, {data}").load(path)
+    n = _elements(spark, path, "node", f"_id string, {data}")
+    e = _elements(spark, path, "edge", f"_source string, _target string, {data}")
     nodes = n.select(F.col("_id").alias("name"), parse_types(value("types")).alias("types"), F.monotonically_increasing_id().alias("node_ord"))
     edges = e.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), value("relation").alias("relation"), value("confidence").cast("double").alias("confidence"), F.coalesce(value("source_text"), F.lit("")).alias("source_text"), F.coalesce(value("source_chunk"), F.lit("")).alias("source_chunk"), F.lit(False).alias("wiki_updated"))
     return nodes, edges
@@ -196,8 +216,8 @@ def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """S11."""
     data = "attvalues struct<attvalue:array<struct<_for:string,_value:string>>>"
     value = lambda k: F.get(F.transform(F.filter("attvalues.attvalue", lambda d: d["_for"] == k), lambda d: d["_value"]), F.lit(0))
-    n = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, {data}").load(path)
-    e = spark.read.format("xml").option("rowTag", "edge").schema(f"_source string, _target string, {data}").load(path)
+    n = _elements(spark, path, "node", f"_id string, {data}")
+    e = _elements(spark, path, "edge", f"_source string, _target string, {data}")
     nodes = n.select(F.col("_id").alias("name"), parse_types(value("types")).alias("types"), F.monotonically_increasing_id().alias("node_ord"))
     edges = e.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), value("relation").alias("relation"), value("confidence").cast("double").alias("confidence"), F.lit("").alias("source_text"), F.lit("").alias("source_chunk"), F.lit(False).alias("wiki_updated"))
     return nodes, edges

@@ -13,6 +13,7 @@ from oracle_check import rows_of
 from quillgraph.functions import text as T
 from quillgraph.operators import centrality, graph, paths, vectors, wiki
 from quillgraph.plans import queries
+from quillgraph.sources import store
 
 PLACES = {
     "region": "SELECT * FROM (VALUES (0, 'EUROPE'), (1, 'ASIA')) t(r_regionkey, r_name)",
@@ -145,3 +146,39 @@ def test_folds_and_lint_hash_what_they_can(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan(wiki.contradictory_pairs(t)) and "SortAggregate" not in plan(wiki.orphans(nodes.select("name"), edges))
     assert "partial_min(o" in plan(nodes) and "keys=[name" in plan(nodes)
+
+
+PRETTY = """<?xml version="1.0" encoding="UTF-8"?>
+<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><!-- <node id="not"> </node> -->
+<graph edgedefault="directed"><node id="lone"/><node
+   id='a &gt; "b"'>
+  <data key="types">T, U</data>
+</node><node id="ü"/>
+<edge source="lone" target="ü" /><edge source="a &gt; &quot;b&quot;" target="lone">
+  <data key="relation">R &amp; S</data><data key="confidence">0.5</data></edge><edge source="ü" target="ü"/></graph></graphml>
+"""
+
+
+@pytest.mark.parametrize("comment", [True, False])
+def test_graphml_of_other_tools(spark, tmp_path, comment):
+    (tmp_path / "g.graphml").write_text(PRETTY if comment else PRETTY.replace('<!-- <node id="not"> </node> -->', ""))
+    nodes, edges = store.read_graphml(spark, str(tmp_path / "g.graphml"))
+    assert sorted((r.name, r.types) for r in nodes.collect() if r.name != "not") == [('a > "b"', ["T", "U"]), ("lone", []), ("ü", [])]
+    assert sorted((r.src, r.dst, r.relation, r.confidence) for r in edges.collect()) == [('a > "b"', "lone", "R & S", 0.5), ("lone", "ü", None, None), ("ü", "ü", None, None)]
+
+
+@pytest.mark.parametrize("form", ["graphml", "gexf"])
+def test_many_tasks_read_one_export(spark, tmp_path, form):
+    names = [(f"n{i} <&> \u4e2d", ["T", "U"], i) for i in range(3000)]
+    nodes = spark.createDataFrame(names, "name string, types array<string>, node_ord long")
+    edges = spark.createDataFrame([(names[i][0], names[i // 2][0], "R", 0.5, "", f"c_{i}") for i in range(3000)], "src string, dst string, relation string, confidence double, source_text string, source_chunk string")
+    store.write_lines(getattr(store, form)(nodes, edges), str(tmp_path / form))
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        n, e = getattr(store, f"read_{form}")(spark, str(tmp_path / form))
+        assert n.rdd.getNumPartitions() > 3 and e.rdd.getNumPartitions() > 3
+        assert sorted((r.name, r.types) for r in n.collect()) == sorted((a, b) for a, b, _ in names)
+        assert sorted((r.src, r.dst, r.relation, r.confidence) for r in e.collect()) == sorted((r.src, r.dst, r.relation, r.confidence) for r in edges.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
