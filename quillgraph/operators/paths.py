@@ -33,19 +33,24 @@ def find_paths(edges: DataFrame, source: str, target: str, max_depth: int = 3) -
     return found
 
 
-def bfs(edges: DataFrame, name: str, depth: int = 2) -> DataFrame:
+#: Names of a frontier that are broadcast (counted).
+MOST_FRONTIER = 500_000
+
+
+def bfs(edges: DataFrame, name: str, depth: int = 2, most: int = MOST_FRONTIER) -> DataFrame:
     """Entity and least distance along out-edges, without the start.
 
-    Each round joins the new frontier alone and drops what was seen.
+    Each round joins the new frontier alone and drops what was seen.  The edges are written once;
+    while a frontier has few names it goes to where the edges are, which are not shuffled.
     """
-    step = edges.select("src", "dst")
+    step = kept(edges.select("src", "dst"))
     seen = edges.sparkSession.range(1).select(F.lit(name).alias("entity"), F.lit(0).alias("distance"))
     frontier = seen
     for d in range(1, depth + 1):
-        new = step.join(frontier.select("entity"), step["src"] == F.col("entity")).select(F.col("dst").alias("entity")).distinct()
-        frontier = new.join(seen.select("entity"), "entity", "left_anti").withColumn("distance", F.lit(d))
-        if d % 3 == 0 and d < depth:
-            frontier = cut(frontier)
+        few = frontier.limit(most + 1).count() <= most
+        at = frontier.select(F.col("entity").alias("src"))
+        new = step.join(F.broadcast(at) if few else at, "src").select(F.col("dst").alias("entity")).distinct()
+        frontier = cut(new.join(seen.select("entity"), "entity", "left_anti").withColumn("distance", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen.where("distance > 0")
 

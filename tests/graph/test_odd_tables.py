@@ -182,3 +182,21 @@ def test_many_tasks_read_one_export(spark, tmp_path, form):
         assert sorted((r.src, r.dst, r.relation, r.confidence) for r in e.collect()) == sorted((r.src, r.dst, r.relation, r.confidence) for r in edges.collect())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+
+
+@pytest.mark.parametrize("most", [2, 1000])
+def test_bfs_does_not_shuffle_edges_to_a_small_frontier(spark, monkeypatch, most):
+    pairs = [(f"n{i}", f"n{j}") for i in range(40) for j in (i + 1, i + 1, i * 3 % 40, i)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    plans = []
+    monkeypatch.setattr(paths, "cut", lambda df, f=paths.cut: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df))
+    near, far, level = {}, {"n1": 0}, ["n1"]
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    for d in (1, 2, 3):
+        level = sorted({b for a in level for b in near.get(a, ())} - set(far))
+        far |= dict.fromkeys(level, d)
+    got = {r.entity: r.distance for r in paths.bfs(edges, "n1", 3, most).collect()}
+    assert got == {k: v for k, v in far.items() if v} and len(plans) == 3
+    if most > 2:
+        assert all("BroadcastHashJoin [src" in p and "SortMergeJoin [src" not in p for p in plans[1:])
